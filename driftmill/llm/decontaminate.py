@@ -34,9 +34,11 @@ def words(text: str | None) -> list[bytes]:
 def _segments(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     ids: list[pa.Array] = []
     texts: list[pa.Array] = []
-    size = 0
+    size = number = 0
 
     def segment() -> pa.RecordBatch:
+        from pyspark import TaskContext
+
         own = pa.concat_arrays(ids)
         word, terms, counts = codes(pa.concat_arrays(texts), WORD_BYTES)
         # one unused position after each document keeps phrases from crossing into the next
@@ -44,6 +46,7 @@ def _segments(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> Iterator[
         order = np.argsort(word, kind="stable")
         return pa.RecordBatch.from_arrays(
             [
+                pa.array([(TaskContext.get().partitionId() << 33) + number]),
                 ragged(np.array([len(own)]), own),
                 ragged(np.array([len(counts)]), pa.array(counts, pa.int32())),
                 ragged(np.array([len(terms)]), pa.array(terms, pa.binary())),
@@ -63,7 +66,7 @@ def _segments(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> Iterator[
                     ids.append(batch.column(0).slice(begin, i - begin))
                     texts.append(batch.column(1).slice(begin, i - begin))
                 yield segment()
-                ids, texts, size, begin = [], [], 0, i
+                ids, texts, size, begin, number = [], [], 0, i, number + 1
             size += int(n)
         if len(batch) > begin:
             ids.append(batch.column(0).slice(begin))
@@ -75,12 +78,12 @@ def _segments(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> Iterator[
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Postings of every word of every document: one row for each segment.
 
-    Columns: doc_ids and doc_words (its documents, in order), terms and counts, positions (little-endian 32-bit, the
+    Columns: segment (its number), doc_ids and doc_words (its documents, in order), terms and counts, positions (little-endian 32-bit, the
     lists of all terms end to end). A null text is a document without words; repeated ids stay separate documents.
     """
     prepare(docs.sparkSession)
     own = docs.schema[id_col].dataType
-    schema = T.StructType().add("doc_ids", T.ArrayType(own)).add("doc_words", T.ArrayType(T.IntegerType())).add("terms", T.ArrayType(T.BinaryType())).add("counts", T.ArrayType(T.IntegerType())).add("positions", T.BinaryType())
+    schema = T.StructType().add("segment", T.LongType()).add("doc_ids", T.ArrayType(own)).add("doc_words", T.ArrayType(T.IntegerType())).add("terms", T.ArrayType(T.BinaryType())).add("counts", T.ArrayType(T.IntegerType())).add("positions", T.BinaryType())
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -203,15 +206,13 @@ def _searched(index: DataFrame, vocab: dict[bytes, int], windows: dict[tuple, se
     sent = spark.sparkContext.broadcast((vocab, asked))
 
     def run(batches):
-        from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
         vocab, asked = sent.value
-        number = 0
         for batch in batches:
             for i in range(len(batch)):
-                ids, n_words, terms, n, positions = (c.slice(i, 1) for c in batch.columns)
+                key, ids, n_words, terms, n, positions = (c.slice(i, 1) for c in batch.columns)
                 n_words = n_words.flatten().to_numpy()
                 posted = Postings(terms.flatten().to_pylist(), n.flatten().to_numpy(), np.frombuffer(positions[0].as_buffer(), "<i4"), vocab)
                 begins = np.cumsum(n_words + 1) - n_words - 1
@@ -239,11 +240,9 @@ def _searched(index: DataFrame, vocab: dict[bytes, int], windows: dict[tuple, se
                 per = np.bincount(doc, minlength=len(n_words)) if len(doc) else np.zeros(len(n_words), np.int64)
                 spans -= begins[doc][:, None]
                 pairs = pa.StructArray.from_arrays([pa.array(spans[:, k], pa.int32()) for k in (0, 1)], ["start", "end"])
-                key = (TaskContext.get().partitionId() << 33) + number
-                number += 1
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n_words), key)), pa.array(np.arange(len(n_words)), pa.int32()), ids.flatten(), pa.array(n_words, pa.int64()), ragged(per, pairs), pa.array([sorted(within.get(d, ())) for d in range(len(n_words))], pa.list_(pa.string()))], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n_words), key[0].as_py()), pa.int64()), pa.array(np.arange(len(n_words)), pa.int32()), ids.flatten(), pa.array(n_words, pa.int64()), ragged(per, pairs), pa.array([sorted(within.get(d, ())) for d in range(len(n_words))], pa.list_(pa.string()))], schema=arrow)
 
-    return index.select("doc_ids", "doc_words", "terms", "counts", "positions").mapInArrow(run, schema)
+    return index.select("segment", "doc_ids", "doc_words", "terms", "counts", "positions").mapInArrow(run, schema)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
