@@ -4,10 +4,11 @@ A document's sketch is the k smallest values of one hash over its word shingles.
 candidate pairs, the sketch of the pair's union estimates their similarity, and the full sets decide. Documents with
 equal sets are one class, so that copies are never paired; components are found over classes.
 
-Two sets of similarity 0.8 or more share at least LEAST of 32 retained values but for a chance under 1e-7 (binomial
+Two sets of similarity 0.8 or more share at least LEAST of 64 retained values but for a chance under 1e-6 (binomial
 tail). Two sketches with LEAST common values meet in one of their k - LEAST + 1 rarest values, so only these are listed:
-very common shingles produce no pairs. Every list first links its members with one leader; after joining what that
-links, only members outside the leader's component are compared with the rest of the list. No list is ever expanded into
+very common shingles produce no pairs. Every list first links its members with one leader, another one in each list;
+after joining what that links, only members outside the leader's component are compared with the rest of the list, in the
+list of the rarest value that the two have in common. No list is ever expanded into
 all pairs, and no pair between different components goes unchecked.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, codes, discard, hashes, mixed, prepare, written
 
 #: Values in a sketch, and common values that a pair of similarity 0.8 has at least.
-K, LEAST = 32, 12
+K, LEAST = 64, 33
 
 #: Rows of 16-byte class keys that may be broadcast; more are joined by a shuffle.
 BROADCAST_CLASSES = 1_000_000
@@ -141,26 +142,34 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     # each class's rarest retained values, without those that no other class retains
     posted = classes.where("rep is not null").select("cls", "n", "sketch", F.explode("sketch").alias("v"))
     shared = posted.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    least_common = F.when(F.col("n") < K, F.ceil(F.col("n") * percent / 100)).otherwise(F.lit(LEAST))
+    # a smaller set is its own sketch, but a larger partner's sketch may lack some of what they share
+    beyond = F.greatest(F.floor(F.col("n") * 100 / percent) - K, F.lit(0))
+    least_common = F.when(F.col("n") < K, F.ceil(F.col("n") * percent / 100) - beyond).otherwise(F.lit(LEAST))
     prefix = F.least(F.col("n"), F.lit(K)) - F.greatest(least_common, F.lit(1)) + 1
     own = posted.select("cls", "n", "v").join(shared, "v").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("common"))
     # values of df 1 come first in the order by rarity
     alone = F.least(F.col("n"), F.lit(K)) - F.size("common")
-    listed = own.select("cls", "n", F.explode(F.slice("common", 1, F.greatest(prefix - alone, F.lit(0)).cast("int"))).alias("x")).select("cls", "n", F.col("x.v").alias("v"))
-    listed = listed.join(classes.select("cls", "sketch"), "cls")
-    leaders = listed.groupBy("v").agg(F.min("cls").alias("leader"), F.count("*").alias("members")).where("members > 1")
+    own = own.withColumn("first", F.slice("common.v", 1, F.greatest(prefix - alone, F.lit(0)).cast("int"))).where(F.size("first") > 0)
+    # the lists carry sketches in this order, the upper 31 bits of each value, which is enough to estimate with
+    short = lambda v: F.shiftrightunsigned(v, 33).cast("int")
+    own = own.join(classes.select("cls", "sketch"), "cls")
+    ordered = F.transform(F.concat(F.array_except("sketch", "common.v"), F.col("common.v")), short)
+    listed = own.select("cls", "n", ordered.alias("sketch"), F.explode("first").alias("v"))
+    leaders = own.select("cls", F.explode("first").alias("v")).groupBy("v").agg(F.min_by("cls", F.xxhash64("cls", "v")).alias("leader"), F.count("*").alias("members")).where("members > 1")
     lists, lists_at = written(listed.join(leaders.drop("members"), "v"), "lists")
 
-    def near(x: DataFrame, y: DataFrame, also) -> DataFrame:
+    def near(x: DataFrame, y: DataFrame, also, once: bool) -> DataFrame:
         """Pairs in a list whose sizes allow the similarity and whose union's sketch doesn't rule it out."""
         x = x.select("v", *(F.col(c).alias(f"x_{c}") for c in x.columns if c != "v"))
         y = y.select("v", *(F.col(c).alias(f"y_{c}") for c in y.columns if c != "v"))
         sizes = (F.least("x_n", "y_n") * 100) >= F.greatest("x_n", "y_n") * percent
+        common = F.array_intersect("x_sketch", "y_sketch")
+        enough = F.size(common) >= F.least(F.lit(LEAST), F.ceil(F.least("x_n", "y_n") * percent / 100))
+        here = F.get(common, F.lit(0)) == short(F.col("v")) if once else F.lit(True)
         together = F.slice(F.array_sort(F.array_union("x_sketch", "y_sketch")), 1, K)
-        estimate = F.size(F.array_intersect(together, F.array_intersect("x_sketch", "y_sketch")))
-        enough = F.size(F.array_intersect("x_sketch", "y_sketch")) >= F.least(F.lit(LEAST), F.ceil(F.least("x_n", "y_n") * percent / 100))
-        likely = estimate >= F.least(F.lit(LEAST), F.ceil(F.size(together) * percent / 200))
-        return x.join(y, "v").where(also & sizes & enough & likely).select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")).distinct()
+        likely = F.size(F.array_intersect(together, common)) * K >= F.size(together) * LEAST
+        found = x.join(y, "v").where(also & sizes & enough & here & likely)
+        return found.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")).distinct()
 
     def verified(pairs: DataFrame, label: str) -> tuple[DataFrame, list[str]]:
         pairs, at = written(pairs, label)
@@ -173,7 +182,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         return links, [links_at]
 
     leader = lists.where("cls = leader").drop("leader")
-    links, links_at = verified(near(lists.drop("leader"), leader, F.col("x_cls") != F.col("y_cls")), "stars")
+    links, links_at = verified(near(lists.drop("leader"), leader, F.col("x_cls") != F.col("y_cls"), False), "stars")
     first = components(links)
 
     # in each list, who is not yet joined with the leader against all who are in other components
@@ -181,7 +190,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     joined, joined_at = written(joined, "joined")
     heads = joined.where("cls = leader").select("v", F.col("comp").alias("head"))
     outside = joined.join(heads, "v").where("comp <> head").drop("head", "leader")
-    rest, rest_at = verified(near(outside, joined.drop("leader").where("cls <> leader"), F.col("x_comp") != F.col("y_comp")), "rest")
+    rest, rest_at = verified(near(outside, joined.drop("leader"), F.col("x_comp") != F.col("y_comp"), True), "rest")
     final = components(links.unionByName(rest))
 
     ends = classes.select("cls", "rep").join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
