@@ -7,9 +7,10 @@ equal sets are one class, so that copies are never paired; components are found
 Two sets of similarity 0.8 or more share at least LEAST of 64 retained values but for a chance under 1e-6 (binomial
 tail). Two sketches with LEAST common values meet in one of their k - LEAST + 1 rarest values, so only these are listed:
 very common shingles produce no pairs. Every list first links its members with one leader, another one in each list;
-after joining what that links, only members outside the leader's component are compared with the rest of the list, in the
-list of the rarest value that the two have in common. No list is ever expanded into
-all pairs, and no pair between different components goes unchecked.
+after joining what that links, only members outside the leader's component are compared with the rest of the list. That
+happens block against block, counting common values by a matrix product, and a pair is emitted only in the list of the
+rarest value that the two have in common. Pairs are verified in tiles, so that a set travels once for many
+pairs. No list is ever expanded into all pairs, and no pair between different components goes unchecked.
 """
 
 from __future__ import annotations
@@ -24,7 +25,13 @@ from .common import LOWER, codes, discard, hashes, mixed, prepare, written
 #: Values in a sketch, and common values that a pair of similarity 0.8 has at least.
 K, LEAST = 64, 33
 
-#: Rows of 16-byte class keys that may be broadcast; more are joined by a shuffle.
+#: Members of a block of a list, and of each side of a tile, on average.
+BLOCK, TILE = 200, 128
+
+#: Blocks of one list that meet in one task; longer lists are dealt over several.
+TOGETHER = 16
+
+#: Rows of 8-byte ids that may be broadcast; more are joined by a shuffle.
 BROADCAST_CLASSES = 1_000_000
 
 
@@ -76,15 +83,79 @@ def _sets(size: int):
     return run
 
 
-def _similar(percent: int):
+def _likely(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether the union's sketch, taken from the sketches x and y, leaves a similarity of 0.8 possible."""
+    union = np.unique(np.concatenate([x, y]))[:K]
+    common = np.intersect1d(x, y)
+    return np.searchsorted(common, union[-1], "right") * K >= len(union) * LEAST
+
+
+def _estimated(batches):
+    """Pairs x, y with columns sx, sy (sketches): those that overlap enough and may be similar."""
+    for b in batches:
+        keep = np.zeros(b.num_rows, bool)
+        sx, sy = (b.column(c) for c in ("sx", "sy"))
+        for i in range(b.num_rows):
+            keep[i] = _likely(sx[i].values.to_numpy(), sy[i].values.to_numpy())
+        yield b.select(["x", "y", "hub"]).filter(pa.array(keep))
+
+
+def _block(members: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    flat = members.values
+    sketches = flat.field("sketch")
+    ends = sketches.offsets.to_numpy()
+    values = sketches.values.to_numpy()
+    return *(flat.field(c).to_numpy() for c in ("node", "n", "comp")), [values[i:j] for i, j in zip(ends, ends[1:])]
+
+
+def _compared(percent: int):
+    """Blocks xs and ys of the list v (its value's code): pairs of different components that may be similar."""
+
+    def pairs(code: int, xs: tuple, ys: tuple) -> tuple[np.ndarray, np.ndarray]:
+        (_, xn, xc, xsk), (_, yn, yc, ysk) = xs, ys
+        small, large = np.minimum(xn[:, None], yn[None]), np.maximum(xn[:, None], yn[None])
+        open_ = (xc[:, None] != yc[None]) & (100 * small >= percent * large)
+        if not open_.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        _, at = np.unique(np.concatenate(xsk + ysk), return_inverse=True)
+        seen = np.zeros((len(xsk) + len(ysk), at.max() + 1), np.float32)
+        seen[np.repeat(np.arange(len(seen)), [len(s) for s in xsk + ysk]), at] = 1
+        both = seen[: len(xsk)] @ seen[len(xsk) :].T
+        open_ &= both >= np.minimum(LEAST, np.ceil(small * percent / 100))
+        i, j = np.nonzero(open_)
+        keep = np.zeros(len(i), bool)
+        for k, (p, q) in enumerate(zip(i, j)):
+            first = xsk[p][np.argmax(np.isin(xsk[p], ysk[q]))]  # sketches are ordered by rarity here
+            keep[k] = first == code and _likely(xsk[p], ysk[q])
+        return i[keep], j[keep]
+
     def run(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            x, y, hub = [], [], []
+            for r in range(b.num_rows):
+                xs, ys = (_block(b.column(c)[r]) for c in ("xs", "ys"))
+                i, j = pairs(b.column("code")[r].as_py(), xs, ys)
+                x.append(xs[0][i])
+                y.append(ys[0][j])
+                hub.append(ys[2][j])
+            if x:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in (x, y, hub)], names=["x", "y", "hub"])
+
+    return run
+
+
+def _similar(percent: int):
+    """One tile's pairs and sets: the pairs of similarity percent or more."""
+
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        held = {n: np.frombuffer(s, np.uint64) for n, s in zip(sets.column("node").to_pylist(), sets.column("shingles").to_pylist())}
+        found = []
+        for a, b in zip(pairs.column("x").to_pylist(), pairs.column("y").to_pylist()):
+            x, y = held[a], held[b]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                found.append((a, b))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
     return run
 
@@ -137,66 +208,77 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     kind = source.schema["doc_id"].dataType.simpleString()
     rows, rows_at = written(source.mapInArrow(_signatures(size), f"doc_id {kind}, n_shingles bigint, cls binary, sketch array<bigint>"), "signatures")
     least = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch"))
-    classes, classes_at = written(least, "classes")
+    classes, classes_at = written(least.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     # each class's rarest retained values, without those that no other class retains
-    posted = classes.where("rep is not null").select("cls", "n", "sketch", F.explode("sketch").alias("v"))
+    posted = classes.where("rep is not null").select("node", "n", F.explode("sketch").alias("v"))
     shared = posted.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     # a smaller set is its own sketch, but a larger partner's sketch may lack some of what they share
     beyond = F.greatest(F.floor(F.col("n") * 100 / percent) - K, F.lit(0))
     least_common = F.when(F.col("n") < K, F.ceil(F.col("n") * percent / 100) - beyond).otherwise(F.lit(LEAST))
     prefix = F.least(F.col("n"), F.lit(K)) - F.greatest(least_common, F.lit(1)) + 1
-    own = posted.select("cls", "n", "v").join(shared, "v").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("common"))
+    own = posted.join(shared, "v").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("common"))
     # values of df 1 come first in the order by rarity
     alone = F.least(F.col("n"), F.lit(K)) - F.size("common")
     own = own.withColumn("first", F.slice("common.v", 1, F.greatest(prefix - alone, F.lit(0)).cast("int"))).where(F.size("first") > 0)
-    # the lists carry sketches in this order, the upper 31 bits of each value, which is enough to estimate with
+    # sketches in this order, the upper 31 bits of each value, which is enough to estimate with
     short = lambda v: F.shiftrightunsigned(v, 33).cast("int")
-    own = own.join(classes.select("cls", "sketch"), "cls")
+    own = own.join(classes.select("node", "sketch"), "node")
     ordered = F.transform(F.concat(F.array_except("sketch", "common.v"), F.col("common.v")), short)
-    listed = own.select("cls", "n", ordered.alias("sketch"), F.explode("first").alias("v"))
-    leaders = own.select("cls", F.explode("first").alias("v")).groupBy("v").agg(F.min_by("cls", F.xxhash64("cls", "v")).alias("leader"), F.count("*").alias("members")).where("members > 1")
-    lists, lists_at = written(listed.join(leaders.drop("members"), "v"), "lists")
-
-    def near(x: DataFrame, y: DataFrame, also, once: bool) -> DataFrame:
-        """Pairs in a list whose sizes allow the similarity and whose union's sketch doesn't rule it out."""
-        x = x.select("v", *(F.col(c).alias(f"x_{c}") for c in x.columns if c != "v"))
-        y = y.select("v", *(F.col(c).alias(f"y_{c}") for c in y.columns if c != "v"))
-        sizes = (F.least("x_n", "y_n") * 100) >= F.greatest("x_n", "y_n") * percent
-        common = F.array_intersect("x_sketch", "y_sketch")
-        enough = F.size(common) >= F.least(F.lit(LEAST), F.ceil(F.least("x_n", "y_n") * percent / 100))
-        here = F.get(common, F.lit(0)) == short(F.col("v")) if once else F.lit(True)
-        together = F.slice(F.array_sort(F.array_union("x_sketch", "y_sketch")), 1, K)
-        likely = F.size(F.array_intersect(together, common)) * K >= F.size(together) * LEAST
-        found = x.join(y, "v").where(also & sizes & enough & here & likely)
-        return found.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")).distinct()
-
-    def verified(pairs: DataFrame, label: str) -> tuple[DataFrame, list[str]]:
+    listed, listed_at = written(own.select("node", "n", "first", ordered.alias("sketch")), "listed")
+    sketches = listed.select("node", "sketch")
+    lists = listed.select("node", "n", F.explode("first").alias("v"))
+    leaders = lists.groupBy("v").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", "v")).alias("leader"), F.count("*").alias("members")).where("members > 1")
+    leaders, leaders_at = written(leaders, "leaders")
+
+    def verified(pairs: DataFrame, label: str) -> tuple[DataFrame, str]:
+        """The similar ones among pairs x, y. Pairs of one hub are dealt over tiles of some hundred sets."""
         pairs, at = written(pairs, label)
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "rep"), "cls").select(F.col("rep").alias("doc_id"))
-        sets = source.join(_bounded(ids), "doc_id", "left_semi").mapInArrow(_sets(size), "cls binary, shingles binary")
-        sets, sets_at = written(sets.where("cls is not null").dropDuplicates(["cls"]), "sets")
-        full = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
-        links, links_at = written(full.mapInArrow(_similar(percent), "a binary, b binary"), "links")
-        discard(spark, at, sets_at)
-        return links, [links_at]
-
-    leader = lists.where("cls = leader").drop("leader")
-    links, links_at = verified(near(lists.drop("leader"), leader, F.col("x_cls") != F.col("y_cls"), False), "stars")
-    first = components(links)
+        groups = max(1, pairs.count() // TILE)  # small tiles share one
+        chunks = lambda c: F.ceil(F.approx_count_distinct(c) / TILE).alias(f"{c}s")
+        tiles = pairs.join(pairs.groupBy("hub").agg(chunks("x"), chunks("y")), "hub")
+        tiles = tiles.select("x", "y", F.pmod(F.xxhash64("hub", F.pmod(F.xxhash64("x"), "xs"), F.pmod(F.xxhash64("y"), "ys")), F.lit(groups)).alias("tile"))
+        nodes = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(classes.select("node", "cls", "rep"), "node")
+        nodes, nodes_at = written(nodes, "nodes")
+        sets = source.join(_bounded(nodes.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi").mapInArrow(_sets(size), "cls binary, shingles binary")
+        sets = sets.where("cls is not null").join(nodes.select("cls", "node"), "cls").select("node", "shingles")
+        members = tiles.select(F.col("tile").alias("of"), F.explode(F.array("x", "y")).alias("node")).distinct().join(sets, "node")
+        links, links_at = written(tiles.groupBy("tile").cogroup(members.groupBy("of")).applyInArrow(_similar(percent), "a bigint, b bigint"), "links")
+        discard(spark, at, nodes_at)
+        return links, links_at
+
+    sizes = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
+    stars = lists.join(leaders, "v").where((F.col("node") != F.col("leader.node")) & sizes(F.col("n"), F.col("leader.n")))
+    stars = stars.select(F.col("node").alias("x"), F.col("leader.node").alias("y")).distinct()
+    for side in "xy":
+        stars = stars.join(sketches.toDF(side, f"s{side}"), side)
+    stars = stars.select("x", "y", F.col("y").alias("hub"), "sx", "sy").mapInArrow(_estimated, "x bigint, y bigint, hub bigint")
+    links, links_at = verified(stars, "stars")
+    first, first_at = written(components(links), "first")
 
     # in each list, who is not yet joined with the leader against all who are in other components
-    joined = lists.join(first.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    joined, joined_at = written(joined, "joined")
-    heads = joined.where("cls = leader").select("v", F.col("comp").alias("head"))
-    outside = joined.join(heads, "v").where("comp <> head").drop("head", "leader")
-    rest, rest_at = verified(near(outside, joined.drop("leader"), F.col("x_comp") != F.col("y_comp"), True), "rest")
-    final = components(links.unionByName(rest))
-
-    ends = classes.select("cls", "rep").join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    placed, placed_at = written(listed.join(first, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"), "first", "sketch"), "placed")
+    heads = leaders.select("v", "members", F.col("leader.node").alias("node")).join(placed.select("node", F.col("comp").alias("head")), "node").drop("node")
+    outside = placed.select("node", "comp", F.explode("first").alias("v")).join(heads, "v").where("comp <> head").select("v", "node", "members")
+    outside, outside_at = written(outside, "outside")
+    inside = outside.groupBy("v").agg(F.max("members").alias("members"))
+    both = placed.select("node", F.explode("first").alias("v")).join(inside, "v")
+
+    def blocks(of: DataFrame, name: str) -> DataFrame:
+        of = of.join(placed.drop("first"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK)))
+        return of.groupBy("v", "members", "block").agg(F.collect_list(F.struct("node", "n", "comp", "sketch")).alias(name))
+
+    parts = F.ceil(F.col("members") / (BLOCK * TOGETHER))
+    ys = blocks(both, "ys").withColumn("part", F.pmod("block", parts)).select("v", "part", "ys")
+    xs = blocks(outside, "xs").select("v", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"), "xs")
+    rest = xs.join(ys, ["v", "part"]).select(short(F.col("v")).alias("code"), "xs", "ys").mapInArrow(_compared(percent), "x bigint, y bigint, hub bigint")
+    more, more_at = verified(rest, "rest")
+    final = components(links.unionByName(more)).withColumnRenamed("node", "__node")
+
+    ends = classes.select("cls", "rep", "node").join(final, F.col("node") == F.col("__node"), "left").withColumn("comp", F.coalesce("comp", "node"))
     lowest = ends.groupBy("comp").agg(F.min("rep").alias("component_id"))
     by_class, _ = written(ends.join(lowest, "comp").select("cls", "component_id"), "components")
-    discard(spark, classes_at, lists_at, joined_at, *links_at, *rest_at)
+    discard(spark, classes_at, listed_at, leaders_at, links_at, first_at, placed_at, outside_at, more_at)
     out = rows.select("doc_id", "n_shingles", "cls").join(by_class, "cls", "left").withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
