@@ -26,7 +26,13 @@ from .common import LOWER, codes, discard, hashes, mixed, prepare, written
 K, LEAST = 64, 33
 
 #: Members of a block of a list, and of each side of a tile, on average.
-BLOCK, TILE = 200, 128
+BLOCK, TILE = 200, 256
+
+#: Cells of a matrix of sets and their values; sets that need more are compared pair by pair.
+CELLS = 40_000_000
+
+#: Fills sketches of fewer than K values.
+PAD = np.iinfo(np.int64).max
 
 #: Blocks of one list that meet in one task; longer lists are dealt over several.
 TOGETHER = 16
@@ -83,50 +89,66 @@ def _sets(size: int):
     return run
 
 
-def _likely(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether the union's sketch, taken from the sketches x and y, leaves a similarity of 0.8 possible."""
-    union = np.unique(np.concatenate([x, y]))[:K]
-    common = np.intersect1d(x, y)
-    return np.searchsorted(common, union[-1], "right") * K >= len(union) * LEAST
+def _padded(sketches: list[np.ndarray]) -> np.ndarray:
+    out = np.full((len(sketches), K), PAD)
+    for row, sketch in zip(out, sketches):
+        row[: len(sketch)] = sketch
+    return out
+
+
+def _likely(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each row of the padded sketches x and y: whether the union's sketch leaves a similarity of 0.8 possible."""
+    out = [np.zeros(0, bool)]
+    for k in range(0, len(x), 4096):
+        z = np.sort(np.concatenate([x[k : k + 4096], y[k : k + 4096]], axis=1), axis=1)
+        real, again = z < PAD, np.zeros(z.shape, bool)
+        again[:, 1:] = (z[:, 1:] == z[:, :-1]) & real[:, 1:]
+        place = np.cumsum(real & ~again, axis=1)
+        out.append((again & (place <= K)).sum(axis=1) * K >= np.minimum(place[:, -1], K) * LEAST)
+    return np.concatenate(out)
+
+
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    return [values[i:j] for i, j in zip(ends, ends[1:])]
 
 
 def _estimated(batches):
-    """Pairs x, y with columns sx, sy (sketches): those that overlap enough and may be similar."""
+    """Pairs x, y with columns sx, sy (sketches): those that may be similar."""
     for b in batches:
-        keep = np.zeros(b.num_rows, bool)
-        sx, sy = (b.column(c) for c in ("sx", "sy"))
-        for i in range(b.num_rows):
-            keep[i] = _likely(sx[i].values.to_numpy(), sy[i].values.to_numpy())
-        yield b.select(["x", "y", "hub"]).filter(pa.array(keep))
+        keep = _likely(_padded(_lists(b.column("sx"))), _padded(_lists(b.column("sy"))))
+        yield b.select(["x", "y", "hub"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _block(members: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+def _block(members: pa.ListScalar) -> tuple[np.ndarray, ...]:
     flat = members.values
-    sketches = flat.field("sketch")
-    ends = sketches.offsets.to_numpy()
-    values = sketches.values.to_numpy()
-    return *(flat.field(c).to_numpy() for c in ("node", "n", "comp")), [values[i:j] for i, j in zip(ends, ends[1:])]
+    return *(flat.field(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "comp", "head")), _lists(flat.field("sketch"))
 
 
 def _compared(percent: int):
     """Blocks xs and ys of the list v (its value's code): pairs of different components that may be similar."""
 
     def pairs(code: int, xs: tuple, ys: tuple) -> tuple[np.ndarray, np.ndarray]:
-        (_, xn, xc, xsk), (_, yn, yc, ysk) = xs, ys
+        (xi, xn, xc, _, xsk), (yi, yn, yc, head, ysk) = xs, ys
         small, large = np.minimum(xn[:, None], yn[None]), np.maximum(xn[:, None], yn[None])
         open_ = (xc[:, None] != yc[None]) & (100 * small >= percent * large)
+        # two that are both outside meet in both orders
+        open_ &= (yc == head)[None] | (xi[:, None] < yi[None])
         if not open_.any():
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         _, at = np.unique(np.concatenate(xsk + ysk), return_inverse=True)
-        seen = np.zeros((len(xsk) + len(ysk), at.max() + 1), np.float32)
-        seen[np.repeat(np.arange(len(seen)), [len(s) for s in xsk + ysk]), at] = 1
-        both = seen[: len(xsk)] @ seen[len(xsk) :].T
-        open_ &= both >= np.minimum(LEAST, np.ceil(small * percent / 100))
+        counts = np.array([len(s) for s in xsk + ysk])
+        seen = np.zeros((len(counts), at.max() + 1), np.float32)
+        seen[np.repeat(np.arange(len(counts)), counts), at] = 1
+        open_ &= seen[: len(xsk)] @ seen[len(xsk) :].T >= np.minimum(LEAST, np.ceil(small * percent / 100))
+        # sketches are ordered by rarity here: nothing before the list's own value may be common
+        before = np.zeros((len(xsk), seen.shape[1]), np.float32)
+        ends = np.cumsum(counts)
+        for k, sketch in enumerate(xsk):
+            before[k, at[ends[k] - counts[k] :][: np.argmax(sketch == code)]] = 1
+        open_ &= before @ seen[len(xsk) :].T == 0
         i, j = np.nonzero(open_)
-        keep = np.zeros(len(i), bool)
-        for k, (p, q) in enumerate(zip(i, j)):
-            first = xsk[p][np.argmax(np.isin(xsk[p], ysk[q]))]  # sketches are ordered by rarity here
-            keep[k] = first == code and _likely(xsk[p], ysk[q])
+        keep = _likely(_padded(xsk)[i], _padded(ysk)[j])
         return i[keep], j[keep]
 
     def run(batches):
@@ -137,7 +159,7 @@ def _compared(percent: int):
                 i, j = pairs(b.column("code")[r].as_py(), xs, ys)
                 x.append(xs[0][i])
                 y.append(ys[0][j])
-                hub.append(ys[2][j])
+                hub.append(ys[3][j])
             if x:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in (x, y, hub)], names=["x", "y", "hub"])
 
@@ -149,13 +171,21 @@ def _similar(percent: int):
 
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
         held = {n: np.frombuffer(s, np.uint64) for n, s in zip(sets.column("node").to_pylist(), sets.column("shingles").to_pylist())}
-        found = []
-        for a, b in zip(pairs.column("x").to_pylist(), pairs.column("y").to_pylist()):
-            x, y = held[a], held[b]
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= percent * (len(x) + len(y) - both):
-                found.append((a, b))
-        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+        x, y = (pairs.column(c).to_numpy() for c in ("x", "y"))
+        nodes = np.array(sorted(held), np.int64)
+        own = [held[n] for n in nodes.tolist()]
+        counts = np.array([len(s) for s in own])
+        i, j = np.searchsorted(nodes, x), np.searchsorted(nodes, y)
+        _, at = np.unique(np.concatenate(own), return_inverse=True)
+        if len(x) > 8 * len(nodes) and len(nodes) * (at.max() + 1) <= CELLS:  # many pairs of few sets
+            seen = np.zeros((len(nodes), at.max() + 1), np.float32)
+            seen[np.repeat(np.arange(len(nodes)), counts), at] = 1
+            both = (seen @ seen.T)[i, j].astype(np.int64)
+        else:
+            both = np.array([len(np.intersect1d(own[p], own[q], assume_unique=True)) for p, q in zip(i, j)])
+        keep = 100 * both >= percent * (counts[i] + counts[j] - both)
+        found = np.stack([x[keep], y[keep]], axis=1)
+        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
     return run
 
@@ -221,8 +251,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     # values of df 1 come first in the order by rarity
     alone = F.least(F.col("n"), F.lit(K)) - F.size("common")
     own = own.withColumn("first", F.slice("common.v", 1, F.greatest(prefix - alone, F.lit(0)).cast("int"))).where(F.size("first") > 0)
-    # sketches in this order, the upper 31 bits of each value, which is enough to estimate with
-    short = lambda v: F.shiftrightunsigned(v, 33).cast("int")
+    # sketches in this order, without the last bit of each value, so that the order as signed numbers is theirs
+    short = lambda v: F.shiftrightunsigned(v, 1)
     own = own.join(classes.select("node", "sketch"), "node")
     ordered = F.transform(F.concat(F.array_except("sketch", "common.v"), F.col("common.v")), short)
     listed, listed_at = written(own.select("node", "n", "first", ordered.alias("sketch")), "listed")
@@ -259,14 +289,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     # in each list, who is not yet joined with the leader against all who are in other components
     placed, placed_at = written(listed.join(first, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"), "first", "sketch"), "placed")
     heads = leaders.select("v", "members", F.col("leader.node").alias("node")).join(placed.select("node", F.col("comp").alias("head")), "node").drop("node")
-    outside = placed.select("node", "comp", F.explode("first").alias("v")).join(heads, "v").where("comp <> head").select("v", "node", "members")
+    outside = placed.select("node", "comp", F.explode("first").alias("v")).join(heads, "v").where("comp <> head").select("v", "node", "members", "head")
     outside, outside_at = written(outside, "outside")
-    inside = outside.groupBy("v").agg(F.max("members").alias("members"))
+    inside = outside.groupBy("v").agg(F.max("members").alias("members"), F.max("head").alias("head"))
     both = placed.select("node", F.explode("first").alias("v")).join(inside, "v")
 
     def blocks(of: DataFrame, name: str) -> DataFrame:
         of = of.join(placed.drop("first"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK)))
-        return of.groupBy("v", "members", "block").agg(F.collect_list(F.struct("node", "n", "comp", "sketch")).alias(name))
+        return of.groupBy("v", "members", "block").agg(F.collect_list(F.struct("node", "n", "comp", "head", "sketch")).alias(name))
 
     parts = F.ceil(F.col("members") / (BLOCK * TOGETHER))
     ys = blocks(both, "ys").withColumn("part", F.pmod("block", parts)).select("v", "part", "ys")
