@@ -8,9 +8,11 @@ Two sets of similarity 0.8 or more share at least LEAST of 64 retained values bu
 tail). Two sketches with LEAST common values meet in one of their k - LEAST + 1 rarest values, so only these are listed:
 very common shingles produce no pairs. Every list first links its members with one leader, another one in each list;
 after joining what that links, only members outside the leader's component are compared with the rest of the list. That
-happens block against block, counting common values by a matrix product, and a pair is emitted only in the list of the
-rarest value that the two have in common. Pairs are verified in tiles, so that a set travels once for many
-pairs. No list is ever expanded into all pairs, and no pair between different components goes unchecked.
+happens block against block, and a pair is emitted only in the list of the rarest value that the two have in common.
+Lists don't carry sketches but maps of 256 bits, one bit for each value: maps of sketches with c common values of a and b
+differ in at most a + b - 2c bits, so that this test loses no pair. What passes is estimated from sketches and verified
+on full sets, both in tiles, so that a sketch or set travels once for many pairs. No list is ever expanded into all
+pairs, and no pair between different components goes unchecked.
 """
 
 from __future__ import annotations
@@ -37,6 +39,9 @@ PAD = np.iinfo(np.int64).max
 #: Blocks of one list that meet in one task; longer lists are dealt over several.
 TOGETHER = 16
 
+#: Columns of 64 bits that map a sketch's values.
+MAP = [f"b{k}" for k in range(4)]
+
 #: Rows of 8-byte ids that may be broadcast; more are joined by a shuffle.
 BROADCAST_CLASSES = 1_000_000
 
@@ -68,13 +73,21 @@ def _key(own: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None
 
 
+def _maps(sets: list[np.ndarray]) -> list[pa.Array]:
+    bits = 64 * len(MAP)
+    marked = np.zeros((len(sets), bits), bool)
+    for row, own in zip(marked, sets):
+        row[(own[:K] % np.uint64(bits)).astype(np.int64)] = True
+    return [pa.array(c) for c in np.packbits(marked, axis=1).view(np.int64).reshape(len(sets), len(MAP)).T]
+
+
 def _signatures(size: int):
     def run(batches):
         for b in batches:
             sets = shingles(b.column(1), size)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.binary()), pa.array([s[:K].view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "cls", "sketch"],
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.binary()), pa.array([s[:K].view(np.int64) for s in sets], pa.list_(pa.int64())), *_maps(sets)],
+                names=["doc_id", "n_shingles", "cls", "sketch", *MAP],
             )
 
     return run
@@ -113,50 +126,55 @@ def _lists(column: pa.ListArray) -> list[np.ndarray]:
     return [values[i:j] for i, j in zip(ends, ends[1:])]
 
 
-def _estimated(batches):
-    """Pairs x, y with columns sx, sy (sketches): those that may be similar."""
-    for b in batches:
-        keep = _likely(_padded(_lists(b.column("sx"))), _padded(_lists(b.column("sy"))))
-        yield b.select(["x", "y", "hub"]).filter(pa.array(keep, pa.bool_()))
+def _estimated(pairs: pa.Table, sketches: pa.Table) -> pa.Table:
+    """One tile's pairs and sketches: the pairs that may be similar."""
+    held = sketches.combine_chunks()
+    nodes = held.column("node").to_numpy()
+    order = np.argsort(nodes)
+    padded = _padded(_lists(held.column("sketch").combine_chunks()) if held.num_rows else [])
+    i, j = (order[np.searchsorted(nodes, pairs.column(c).to_numpy(), sorter=order)] for c in "xy")
+    keep = np.concatenate([np.zeros(0, bool), *(_likely(padded[i[k : k + 4096]], padded[j[k : k + 4096]]) for k in range(0, len(i), 4096))])
+    return pairs.select(["x", "y", "hub"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _block(members: pa.ListScalar) -> tuple[np.ndarray, ...]:
     flat = members.values
-    return *(flat.field(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "comp", "head")), _lists(flat.field("sketch"))
+    maps = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in MAP], axis=1).view(np.uint64)
+    return *(flat.field(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "comp", "head")), maps, _lists(flat.field("before"))
 
 
 def _compared(percent: int):
-    """Blocks xs and ys of the list v (its value's code): pairs of different components that may be similar."""
+    """Blocks xs and ys of one list: pairs of different components that may be similar."""
 
-    def pairs(code: int, xs: tuple, ys: tuple) -> tuple[np.ndarray, np.ndarray]:
-        (xi, xn, xc, _, xsk), (yi, yn, yc, head, ysk) = xs, ys
+    def pairs(xs: tuple, ys: tuple) -> tuple[np.ndarray, np.ndarray]:
+        (xi, xn, xc, _, xm, xb), (yi, yn, yc, head, ym, yb) = xs, ys
         small, large = np.minimum(xn[:, None], yn[None]), np.maximum(xn[:, None], yn[None])
         open_ = (xc[:, None] != yc[None]) & (100 * small >= percent * large)
         # two that are both outside meet in both orders
         open_ &= (yc == head)[None] | (xi[:, None] < yi[None])
-        if not open_.any():
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        _, at = np.unique(np.concatenate(xsk + ysk), return_inverse=True)
-        counts = np.array([len(s) for s in xsk + ysk])
-        seen = np.zeros((len(counts), at.max() + 1), np.float32)
-        seen[np.repeat(np.arange(len(counts)), counts), at] = 1
-        open_ &= seen[: len(xsk)] @ seen[len(xsk) :].T >= np.minimum(LEAST, np.ceil(small * percent / 100))
-        # sketches are ordered by rarity here: nothing before the list's own value may be common
-        before = np.zeros((len(xsk), seen.shape[1]), np.float32)
-        ends = np.cumsum(counts)
-        for k, sketch in enumerate(xsk):
-            before[k, at[ends[k] - counts[k] :][: np.argmax(sketch == code)]] = 1
-        open_ &= before @ seen[len(xsk) :].T == 0
         i, j = np.nonzero(open_)
-        keep = _likely(_padded(xsk)[i], _padded(ysk)[j])
-        return i[keep], j[keep]
+        apart = np.zeros(len(i), np.int64)
+        for k in range(len(MAP)):
+            apart += np.bitwise_count(xm[i, k] ^ ym[j, k])
+        small = small[i, j]
+        most = np.minimum(xn[i], K) + np.minimum(yn[j], K) - 2 * np.minimum(LEAST, -(-small * percent // 100))
+        i, j = i[apart <= most], j[apart <= most]
+        if not len(i):
+            return i, j
+        # nothing rarer than the list's own value may be common
+        counts = np.array([len(c) for c in xb + yb])
+        _, at = np.unique(np.concatenate(xb + yb), return_inverse=True)
+        seen = np.zeros((len(counts), at.max(initial=0) + 1), np.float32)
+        seen[np.repeat(np.arange(len(counts)), counts), at] = 1
+        first = (seen[: len(xb)] @ seen[len(xb) :].T == 0)[i, j]
+        return i[first], j[first]
 
     def run(batches):
         for b in batches:
             x, y, hub = [], [], []
             for r in range(b.num_rows):
                 xs, ys = (_block(b.column(c)[r]) for c in ("xs", "ys"))
-                i, j = pairs(b.column("code")[r].as_py(), xs, ys)
+                i, j = pairs(xs, ys)
                 x.append(xs[0][i])
                 y.append(ys[0][j])
                 hub.append(ys[3][j])
@@ -236,72 +254,81 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     prepare(spark)
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    rows, rows_at = written(source.mapInArrow(_signatures(size), f"doc_id {kind}, n_shingles bigint, cls binary, sketch array<bigint>"), "signatures")
-    least = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch"))
+    maps = ", ".join(f"{c} bigint" for c in MAP)
+    rows, rows_at = written(source.mapInArrow(_signatures(size), f"doc_id {kind}, n_shingles bigint, cls binary, sketch array<bigint>, {maps}"), "signatures")
+    least = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch"), *(F.min(c).alias(c) for c in MAP))
     classes, classes_at = written(least.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     # each class's rarest retained values, without those that no other class retains
-    posted = classes.where("rep is not null").select("node", "n", F.explode("sketch").alias("v"))
+    posted = classes.where("rep is not null").select("node", F.explode("sketch").alias("v"))
     shared = posted.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     # a smaller set is its own sketch, but a larger partner's sketch may lack some of what they share
     beyond = F.greatest(F.floor(F.col("n") * 100 / percent) - K, F.lit(0))
     least_common = F.when(F.col("n") < K, F.ceil(F.col("n") * percent / 100) - beyond).otherwise(F.lit(LEAST))
     prefix = F.least(F.col("n"), F.lit(K)) - F.greatest(least_common, F.lit(1)) + 1
-    own = posted.join(shared, "v").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("common"))
+    own = posted.join(shared, "v").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("common"))
+    own = own.join(classes.select("node", "n", *MAP), "node")
     # values of df 1 come first in the order by rarity
     alone = F.least(F.col("n"), F.lit(K)) - F.size("common")
     own = own.withColumn("first", F.slice("common.v", 1, F.greatest(prefix - alone, F.lit(0)).cast("int"))).where(F.size("first") > 0)
-    # sketches in this order, without the last bit of each value, so that the order as signed numbers is theirs
-    short = lambda v: F.shiftrightunsigned(v, 1)
-    own = own.join(classes.select("node", "sketch"), "node")
-    ordered = F.transform(F.concat(F.array_except("sketch", "common.v"), F.col("common.v")), short)
-    listed, listed_at = written(own.select("node", "n", "first", ordered.alias("sketch")), "listed")
-    sketches = listed.select("node", "sketch")
+    listed, listed_at = written(own.select("node", "n", "first", *MAP), "listed")
     lists = listed.select("node", "n", F.explode("first").alias("v"))
     leaders = lists.groupBy("v").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", "v")).alias("leader"), F.count("*").alias("members")).where("members > 1")
     leaders, leaders_at = written(leaders, "leaders")
 
-    def verified(pairs: DataFrame, label: str) -> tuple[DataFrame, str]:
-        """The similar ones among pairs x, y. Pairs of one hub are dealt over tiles of some hundred sets."""
-        pairs, at = written(pairs, label)
+    def tiled(pairs: DataFrame, held: DataFrame, run, schema: str) -> DataFrame:
+        """run over pairs x, y and what is held of their nodes. Pairs of one hub are dealt over tiles of some hundred nodes."""
         groups = max(1, pairs.count() // TILE)  # small tiles share one
         chunks = lambda c: F.ceil(F.approx_count_distinct(c) / TILE).alias(f"{c}s")
         tiles = pairs.join(pairs.groupBy("hub").agg(chunks("x"), chunks("y")), "hub")
-        tiles = tiles.select("x", "y", F.pmod(F.xxhash64("hub", F.pmod(F.xxhash64("x"), "xs"), F.pmod(F.xxhash64("y"), "ys")), F.lit(groups)).alias("tile"))
+        tiles = tiles.select("x", "y", "hub", F.pmod(F.xxhash64("hub", F.pmod(F.xxhash64("x"), "xs"), F.pmod(F.xxhash64("y"), "ys")), F.lit(groups)).alias("tile"))
+        members = tiles.select(F.col("tile").alias("of"), F.explode(F.array("x", "y")).alias("node")).distinct().join(held, "node")
+        return tiles.groupBy("tile").cogroup(members.groupBy("of")).applyInArrow(run, schema)
+
+    def verified(pairs: DataFrame, label: str) -> tuple[DataFrame, str]:
+        """The similar ones among pairs x, y."""
+        pairs, all_at = written(pairs, f"{label}-all")
+        pairs, at = written(tiled(pairs, classes.select("node", "sketch"), _estimated, "x bigint, y bigint, hub bigint"), label)
         nodes = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(classes.select("node", "cls", "rep"), "node")
         nodes, nodes_at = written(nodes, "nodes")
         sets = source.join(_bounded(nodes.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi").mapInArrow(_sets(size), "cls binary, shingles binary")
         sets = sets.where("cls is not null").join(nodes.select("cls", "node"), "cls").select("node", "shingles")
-        members = tiles.select(F.col("tile").alias("of"), F.explode(F.array("x", "y")).alias("node")).distinct().join(sets, "node")
-        links, links_at = written(tiles.groupBy("tile").cogroup(members.groupBy("of")).applyInArrow(_similar(percent), "a bigint, b bigint"), "links")
-        discard(spark, at, nodes_at)
+        links, links_at = written(tiled(pairs, sets, _similar(percent), "a bigint, b bigint"), "links")
+        discard(spark, all_at, at, nodes_at)
         return links, links_at
 
     sizes = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     stars = lists.join(leaders, "v").where((F.col("node") != F.col("leader.node")) & sizes(F.col("n"), F.col("leader.n")))
     stars = stars.select(F.col("node").alias("x"), F.col("leader.node").alias("y")).distinct()
     for side in "xy":
-        stars = stars.join(sketches.toDF(side, f"s{side}"), side)
-    stars = stars.select("x", "y", F.col("y").alias("hub"), "sx", "sy").mapInArrow(_estimated, "x bigint, y bigint, hub bigint")
+        stars = stars.join(listed.select("node", "n", *MAP).toDF(side, f"{side}n", *(f"{side}{c}" for c in MAP)), side)
+    apart = sum((F.bit_count(F.col(f"x{c}").bitwiseXOR(F.col(f"y{c}"))) for c in MAP), F.lit(0))
+    common = F.least(F.lit(LEAST), F.ceil(F.least("xn", "yn") * percent / 100))
+    stars = stars.where(apart <= F.least("xn", F.lit(K)) + F.least("yn", F.lit(K)) - 2 * common).select("x", "y", F.col("y").alias("hub"))
     links, links_at = verified(stars, "stars")
     first, first_at = written(components(links), "first")
 
     # in each list, who is not yet joined with the leader against all who are in other components
-    placed, placed_at = written(listed.join(first, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"), "first", "sketch"), "placed")
+    placed, placed_at = written(listed.join(first, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"), "first", *MAP), "placed")
     heads = leaders.select("v", "members", F.col("leader.node").alias("node")).join(placed.select("node", F.col("comp").alias("head")), "node").drop("node")
     outside = placed.select("node", "comp", F.explode("first").alias("v")).join(heads, "v").where("comp <> head").select("v", "node", "members", "head")
     outside, outside_at = written(outside, "outside")
     inside = outside.groupBy("v").agg(F.max("members").alias("members"), F.max("head").alias("head"))
     both = placed.select("node", F.explode("first").alias("v")).join(inside, "v")
 
-    def blocks(of: DataFrame, name: str) -> DataFrame:
-        of = of.join(placed.drop("first"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK)))
-        return of.groupBy("v", "members", "block").agg(F.collect_list(F.struct("node", "n", "comp", "head", "sketch")).alias(name))
-
+    # what a member has before the list's value, by the last 32 bits
+    last = lambda v: F.shiftright(F.shiftleft(v, 32), 32).cast("int")
+    before = F.transform(F.slice("first", 1, F.array_position("first", F.col("v")).cast("int") - 1), last)
     parts = F.ceil(F.col("members") / (BLOCK * TOGETHER))
-    ys = blocks(both, "ys").withColumn("part", F.pmod("block", parts)).select("v", "part", "ys")
-    xs = blocks(outside, "xs").select("v", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"), "xs")
-    rest = xs.join(ys, ["v", "part"]).select(short(F.col("v")).alias("code"), "xs", "ys").mapInArrow(_compared(percent), "x bigint, y bigint, hub bigint")
+
+    def blocks(of: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        """Blocks of a list's members, grouped where they meet: every part of it meets every part of the other side."""
+        of = of.join(placed, "node").withColumns({"block": F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK)), "before": before})
+        of = of.select("v", F.pmod("block", parts).alias(own), F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias(other), "block", F.struct("node", "n", "comp", "head", *MAP, "before").alias("one"))
+        return of.repartition("v", "xp", "yp").groupBy("v", "xp", "yp", "block").agg(F.collect_list("one").alias(name)).drop("block")
+
+    xs, ys = blocks(outside.drop("comp"), "xs", "xp", "yp"), blocks(both, "ys", "yp", "xp")
+    rest = xs.join(ys, ["v", "xp", "yp"]).select("xs", "ys").mapInArrow(_compared(percent), "x bigint, y bigint, hub bigint")
     more, more_at = verified(rest, "rest")
     final = components(links.unionByName(more)).withColumnRenamed("node", "__node")
 
