@@ -42,8 +42,8 @@ TOGETHER = 16
 #: Columns of 64 bits that map a sketch's values.
 MAP = [f"b{k}" for k in range(4)]
 
-#: Rows of 8-byte ids that may be broadcast; more are joined by a shuffle.
-BROADCAST_CLASSES = 1_000_000
+#: Rows of up to 60 bytes (ids and a class's key) that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 300_000
 
 
 def shingles(values: pa.Array, size: int) -> list[np.ndarray]:
@@ -96,8 +96,11 @@ def _signatures(size: int):
 def _sets(size: int):
     def run(batches):
         for b in batches:
-            sets = shingles(b.column(1), size)
-            yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "shingles"])
+            sets = shingles(b.column("text"), size)
+            # of repeated ids, the rows of the class alone
+            keep = pa.array([_key(s) == k for s, k in zip(sets, b.column("cls").to_pylist())], pa.bool_())
+            found = pa.RecordBatch.from_arrays([b.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
+            yield found.filter(keep)
 
     return run
 
@@ -236,7 +239,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES else df
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,25 +279,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     leaders = lists.groupBy("v").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", "v")).alias("leader"), F.count("*").alias("members")).where("members > 1")
     leaders, leaders_at = written(leaders, "leaders")
 
-    def tiled(pairs: DataFrame, held: DataFrame, run, schema: str) -> DataFrame:
+    def tiled(pairs: DataFrame, held: DataFrame, run, schema: str) -> tuple[DataFrame, str]:
         """run over pairs x, y and what is held of their nodes. Pairs of one hub are dealt over tiles of some hundred nodes."""
         groups = max(1, pairs.count() // TILE)  # small tiles share one
         chunks = lambda c: F.ceil(F.approx_count_distinct(c) / TILE).alias(f"{c}s")
         tiles = pairs.join(pairs.groupBy("hub").agg(chunks("x"), chunks("y")), "hub")
         tiles = tiles.select("x", "y", "hub", F.pmod(F.xxhash64("hub", F.pmod(F.xxhash64("x"), "xs"), F.pmod(F.xxhash64("y"), "ys")), F.lit(groups)).alias("tile"))
-        members = tiles.select(F.col("tile").alias("of"), F.explode(F.array("x", "y")).alias("node")).distinct().join(held, "node")
-        return tiles.groupBy("tile").cogroup(members.groupBy("of")).applyInArrow(run, schema)
+        members, members_at = written(tiles.select(F.col("tile").alias("of"), F.explode(F.array("x", "y")).alias("node")).distinct(), "members")
+        out, out_at = written(tiles.groupBy("tile").cogroup(held.join(_bounded(members), "node").groupBy("of")).applyInArrow(run, schema), "tiled")
+        discard(spark, members_at)
+        return out, out_at
 
     def verified(pairs: DataFrame, label: str) -> tuple[DataFrame, str]:
         """The similar ones among pairs x, y."""
-        pairs, all_at = written(pairs, f"{label}-all")
-        pairs, at = written(tiled(pairs, classes.select("node", "sketch"), _estimated, "x bigint, y bigint, hub bigint"), label)
-        nodes = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(classes.select("node", "cls", "rep"), "node")
-        nodes, nodes_at = written(nodes, "nodes")
-        sets = source.join(_bounded(nodes.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi").mapInArrow(_sets(size), "cls binary, shingles binary")
-        sets = sets.where("cls is not null").join(nodes.select("cls", "node"), "cls").select("node", "shingles")
-        links, links_at = written(tiled(pairs, sets, _similar(percent), "a bigint, b bigint"), "links")
-        discard(spark, all_at, at, nodes_at)
+        pairs, all_at = written(pairs, label)
+        pairs, at = tiled(pairs, classes.select("node", "sketch"), _estimated, "x bigint, y bigint, hub bigint")
+        nodes, nodes_at = written(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(classes.select("node", "cls", "rep"), "node"), "nodes")
+        # pairs of a small component share a tile, whatever their hubs, so that its sets travel once
+        groups = components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        small = groups.groupBy("comp").agg(F.count("*").alias("size")).where(F.col("size") <= TILE).select("comp")
+        small = groups.join(small, "comp").select(F.col("node").alias("x"), "comp")
+        dealt, dealt_at = written(pairs.join(small, "x", "left").select("x", "y", F.coalesce("comp", "hub").alias("hub")), "dealt")
+        sets = source.join(_bounded(nodes.select(F.col("rep").alias("doc_id"), "cls", "node")), "doc_id").select("text", "cls", "node").mapInArrow(_sets(size), "node bigint, shingles binary")
+        links, links_at = tiled(dealt, sets, _similar(percent), "a bigint, b bigint")
+        discard(spark, all_at, at, nodes_at, dealt_at)
         return links, links_at
 
     sizes = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
