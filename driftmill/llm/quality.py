@@ -19,10 +19,11 @@ from .common import discard, written
 #: Share of a group in the subset of least determinant; concentration steps; rows that a group of its own has at least.
 SHARE, STEPS, LEAST_ROWS = 0.6, 6, 60
 #: A clean vector is rejected with about this chance.
-TAIL = 1e-6
+TAIL = 1e-3
 #: Standard deviations added to each estimate: word length (log), then the roots of symbols a word and of the shares of repeated lines and words. They
-#: keep a covariance of copies or of constant statistics regular.
-SPREAD = (0.06, 0.08, 0.18, 0.18)
+#: keep a covariance of copies or of constant statistics regular; 0.1 is about what chance does to the root of a share of 25. Each statistic alone can
+#: exceed CUTOFF: a share of 1 is at 1 / 0.1 ** 2 = 100, one of a half, the most that passes the base rules, at 50.
+SPREAD = (0.06, 0.08, 0.1, 0.1)
 UNIT = 1000
 BINS = 24
 

@@ -87,6 +87,19 @@ def test_outliers_go_and_inliers_stay(spark):
     assert all(kept == (i < 1000) for i, kept in got.items())
 
 
+def test_repeated_lines_or_words_alone_are_outliers(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.choice((4, 5, 6))))
+    prose = lambda n: [" ".join(word() for _ in range(12)) for _ in range(n)]
+    rows = [(k, "\n".join(prose(10)), "en", "s") for k in range(200)]
+    rows += [(1000 + k, "\n".join(prose(10) + ["more"] * 30), "en", "s") for k in range(5)]
+    again = " ".join(prose(4))
+    rows += [(2000 + k, "\n".join([*prose(5), again, *prose(5), again]), "en", "s") for k in range(5)]
+    got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {i: r.kept for i, r in got.items()} == {i: i < 1000 for i in got}
+
+
 def test_near_duplicates_against_all_pairs(spark, texts):
     sets = {}
     for i, t in texts.items():
