@@ -2,20 +2,67 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def _written(df: DataFrame) -> tuple[DataFrame, Callable[[], bool]]:
+    """df as a Parquet table in the folder that driver and executors share, and what deletes it before the application ends."""
+    spark = df.sparkSession
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if held.isEmpty():
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="driftmill-"))
+            held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = held.get()
+    path = f"{root.rstrip('/')}/driftmill-{uuid.uuid4().hex}-lineage"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path), lambda: fs.delete(at, True)
+
+
 def roots(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """id and root of (id, parent) rows: parents are followed to a row without one, to one that is its own, or to an id that has no row."""
-    edges.createOrReplaceTempView("__edges")
-    return spark.sql(
-        """WITH RECURSIVE walk(id, at, next) AS (
-             SELECT id, id, parent FROM __edges
-             UNION ALL
-             SELECT w.id, w.next, e.parent FROM walk w LEFT JOIN __edges e ON e.id = w.next WHERE w.next IS NOT NULL AND w.next <> w.at)
-           SELECT id, at AS root FROM walk WHERE next IS NULL OR next = at"""
-    )
+    """id and root of (id, parent) rows: parents are followed to a row without one, to one that is its own, or to an id that has no row.
+
+    A round joins what each row has reached with what that has reached, so rounds are as many as the logarithm of the longest
+    chain, and neither rows nor depth are limited. Ids that lead into a cycle get its smallest id as root. An id of several rows
+    has a row for each path; if the table has a cycle too, so that paths may have no end, one for each root (and for
+    chains without an end the smallest id met). Null ids with a parent are left out.
+    """
+    own = F.col("parent").isNull() | (F.col("parent") == F.col("id"))
+    start = edges.where("id IS NOT NULL OR parent IS NULL").select("id", F.coalesce("parent", "id").alias("at"), own.alias("done"), F.least("id", "parent").alias("low"), F.lit(1.0).alias("paths"))
+    now, drop = _written(start)
+    n, ids = now.agg(F.count("*"), F.count_distinct("id")).first()
+    steps = 1
+    while going := now.where("NOT done").limit(1).count() > 0:
+        if steps > n:  # more steps than rows
+            break
+        reached = now.select(F.col("id").alias("via"), F.col("at").alias("to"), F.col("done").alias("ended"), F.col("low").alias("lower"), F.col("paths").alias("times"))
+        on = now.where("NOT done").join(reached, F.col("at") == F.col("via"), "left")
+        on = on.select("id", F.coalesce("to", "at").alias("at"), F.coalesce("ended", F.lit(True)).alias("done"), F.least("low", "lower").alias("low"), (F.col("paths") * F.coalesce("times", F.lit(1.0))).alias("paths"))
+        both = now.where("done").unionByName(on)
+        if n > ids:
+            both = both.groupBy("id", "at", "done").agg(F.min("low").alias("low"), F.sum("paths").alias("paths"))
+        last, (now, drop) = drop, _written(both)
+        last()
+        steps *= 2
+    if going:
+        # a walk may stand on an end that it has only just reached
+        walks = now.where("NOT done")
+        walks = walks.join(walks.select(F.col("id").alias("via")).distinct(), F.col("at") == F.col("via"), "left_semi")
+        low = walks.groupBy(F.col("id").alias("via")).agg(F.min("low").alias("root"))
+        out = now.where("done").select("id", F.col("at").alias("root")).unionByName(walks.join(low, F.col("at") == F.col("via")).select("id", "root"))
+        return out.distinct() if n > ids else out
+    if n > ids:
+        now = now.withColumn("paths", F.explode(F.array_repeat("done", F.col("paths").cast("int"))))
+    return now.select("id", F.col("at").alias("root"))
 
 
 def partitioned(groups: DataFrame, baseline: int, holdout: int) -> DataFrame:

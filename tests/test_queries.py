@@ -74,6 +74,24 @@ def test_lineage_orphan_takes_the_missing_parent(spark):
     assert {r.id: r.root for r in lineage.roots(spark, df).collect()} == {1: 1, 2: 1, 3: 1, 4: 99}
 
 
+def test_lineage_of_long_chains_and_cycles(spark):
+    # 1,500 rows in one chain: 1,125,750 steps in all, and deeper than 100
+    rows = [(k, max(k - 1, 0)) for k in range(1500)]
+    assert {tuple(r) for r in lineage.roots(spark, spark.createDataFrame(rows, "id int, parent int")).collect()} == {(k, 0) for k in range(1500)}
+    ring = [(9, 7), (7, 8), (8, 9), (10, 9), (11, 10), (1, None), (2, 1), (3, 99), (4, 4), (None, None), (None, 1)]
+    got = sorted(map(tuple, lineage.roots(spark, spark.createDataFrame(ring, "id int, parent int")).collect()), key=repr)
+    assert got == sorted([(9, 7), (7, 7), (8, 7), (10, 7), (11, 7), (1, 1), (2, 1), (3, 99), (4, 4), (None, None)], key=repr)
+
+
+def test_lineage_of_repeated_ids(spark):
+    # as the SQL has it: a row for each path
+    rows = [(1, 1), (2, 1), (2, 1), (3, 2), (4, 3), (4, 5), (5, None)]
+    got = lambda own: sorted(tuple(r) for r in lineage.roots(spark, spark.createDataFrame(own, "id int, parent int")).collect())
+    assert got(rows) == [(1, 1), (2, 1), (2, 1), (3, 1), (3, 1), (4, 1), (4, 1), (4, 5), (5, 5)]
+    # 6 and 7 are a cycle that 6 can leave
+    assert got([*rows, (6, 7), (7, 6), (6, 5)]) == [(1, 1), (2, 1), (3, 1), (4, 1), (4, 5), (5, 5), (6, 5), (6, 6), (7, 5), (7, 6)]
+
+
 def test_confusion_of_nothing(spark):
     r = statistics.confusion(spark.createDataFrame([], "x int"), F.col("x") > 0, F.col("x") > 0).first()
     assert (r.tp, r.detection_rate, r.specificity) == (0, 0.0, 1.0)
