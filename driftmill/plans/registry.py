@@ -15,6 +15,8 @@ FLAGSHIP = "control_chart"
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 SIDE = 8
+#: Sign hashes at most so many bits apart are a near pair, as in the SQL.
+NEAR_BITS = 12
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -164,7 +166,7 @@ def missing_fields(spark, sf_dir):
 def near_hash_pairs(spark, sf_dir):
     # one bit for each of the 64 numbers of a vector: above 0 or not
     bits = F.aggregate(F.transform("embedding", lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
-    return _rounded(lineage.near_hashes(_table(spark, sf_dir, "embeddings").select("vec_id", bits.alias("bits")), "vec_id", "bits", 10))
+    return _rounded(lineage.near_hashes(_table(spark, sf_dir, "embeddings").select("vec_id", bits.alias("bits")), "vec_id", "bits", NEAR_BITS))
 
 
 def unlabelled(spark, sf_dir):

@@ -97,6 +97,23 @@ def test_confusion_of_nothing(spark):
     assert (r.tp, r.detection_rate, r.specificity) == (0, 0.0, 1.0)
 
 
+def test_near_hash_pairs_at_the_threshold(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    base = rng.choice([-1.0, 1.0], (12, 64))
+    rows = list(base)
+    for k, b in enumerate(base):
+        far = registry.NEAR_BITS + k % 4 - 2  # two and one below, at, one above
+        rows.append(b * np.where(np.isin(np.arange(64), rng.choice(64, far, replace=False)), -1, 1))
+    df = spark.createDataFrame([(k, [float(x) for x in r]) for k, r in enumerate(rows)], "vec_id long, embedding array<float>")
+    df.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    ours = sorted((r.a, r.b, r.distance) for r in registry.queries()["near_hash_pairs"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert ours == sorted(con.sql(f"SELECT a, b, distance FROM ({registry.oracle_sql()['near_hash_pairs']})").fetchall())
+    assert ours == [(k, 12 + k, registry.NEAR_BITS + k % 4 - 2) for k in range(12) if k % 4 < 3]
+    assert registry.oracle_sql()["near_hash_pairs"].endswith(f"<= {registry.NEAR_BITS}")
+
+
 def test_near_hashes_find_all_pairs(spark):
     rng = np.random.default_rng(3)
     base = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 30)]
