@@ -18,8 +18,9 @@ from pyspark.sql.functions import arrow_udf
 
 from .common import LOWER, codes, discard, mixed, prepare, written
 
-#: Hash buckets of words; texts that the scorer is trained on at most, the ones of smallest hash; distinct buckets of a training text at most.
-BUCKETS, TRAIN_ROWS, TRAIN_BUCKETS = 1 << 16, 8000, 4000
+#: Hash buckets of words; texts that the scorer is trained on at most, the ones of smallest hash, and their distinct buckets in all (a text has
+#: BUCKETS + 3 at most; where texts are long, fewer are taken, each whole).
+BUCKETS, TRAIN_ROWS, TRAIN_FEATURES = 1 << 16, 8000, 8_000_000
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -144,8 +145,9 @@ def train(buckets: list[np.ndarray], weights: list[np.ndarray], target: np.ndarr
 def classify(docs: DataFrame, threshold: float = 0.5, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of docs: doc_id, posterior (of its votes), score (of the trained scorer) and kept (score >= threshold).
 
-    The vote model sees the patterns of all rows; the scorer is trained on train_rows rows at most, those of the smallest
-    hash of their text, so that repeated rows don't depend on where they are. Null texts are empty: no words, judged by
+    The vote model sees the patterns of all rows; the scorer is trained on train_rows rows at most (and TRAIN_FEATURES
+    buckets of them), those of the smallest hash of their text, so that repeated rows don't depend on where they are. It sees
+    all buckets of a text that it is trained on. Null texts are empty: no words, judged by
     their votes and the bias. An empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -167,13 +169,20 @@ def classify(docs: DataFrame, threshold: float = 0.5, train_rows: int = TRAIN_RO
         for b in batches:
             at, x, n = features(b.column("bytes"))
             cuts = np.cumsum(n)[:-1]
-            order = [np.argsort(-w, kind="stable")[:TRAIN_BUCKETS] for w in np.split(x, cuts)]
-            at, x = ([v[o].astype(kind).tobytes() for v, o in zip(np.split(every, cuts), order)] for every, kind in ((at, "<i4"), (x, "<f4")))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(at, pa.binary()), pa.array(x, pa.binary())], names=[*names, "at", "x"])
-
-    few = source.where(F.xxhash64("text") <= F.lit(edge)).dropDuplicates(["text"]) if edge is not None else source.limit(0)
-    shown = few.select(*(v.alias(k) for k, v in labellers(F.col("text")).items()), F.col("text").cast("binary").alias("bytes"))
-    rows = shown.mapInArrow(sparse, ", ".join(f"{k} int" for k in names) + ", at binary, x binary").collect()
+            at, x = ([v.astype(kind).tobytes() for v in np.split(every, cuts)] for every, kind in ((at, "<i4"), (x, "<f4")))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("h", *names)), pa.array(n, pa.int64()), pa.array(at, pa.binary()), pa.array(x, pa.binary())], names=["h", *names, "n", "at", "x"])
+
+    few = source.withColumn("h", F.xxhash64("text")).where(F.col("h") <= F.lit(edge)).dropDuplicates(["text"]) if edge is not None else source.withColumn("h", F.xxhash64("text")).limit(0)
+    shown = few.select("h", *(v.alias(k) for k, v in labellers(F.col("text")).items()), F.col("text").cast("binary").alias("bytes"))
+    shown, shown_at = written(shown.mapInArrow(sparse, "h bigint, " + ", ".join(f"{k} int" for k in names) + ", n bigint, at binary, x binary"), "shown")
+    total, last = 0, None
+    for h, n in sorted((r["h"], r["n"]) for r in shown.select("h", "n").collect()):  # two numbers a training text
+        total += n
+        if total > TRAIN_FEATURES and last is not None:
+            break
+        last = h
+    rows = sorted(shown.where(F.col("h") <= F.lit(last)).collect(), key=lambda r: (r["h"], r["at"])) if last is not None else []
+    discard(spark, shown_at)
     w = train([np.frombuffer(r["at"], "<i4") for r in rows], [np.frombuffer(r["x"], "<f4") for r in rows], np.array([chance.get(tuple(r[k] for k in names), 0.5) for r in rows]))
     sent = spark.sparkContext.broadcast((w, chance))  # BUCKETS numbers, and one for each pattern
 

@@ -212,6 +212,20 @@ def test_votes_find_the_worse_texts(spark):
     assert (good[:, None] > bad[None, :]).mean() > 0.9
 
 
+def test_training_sees_whole_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(classifier, "train", lambda at, x, target, f=classifier.train: seen.append((at, x)) or f(at, x, target))
+    rows = [" ".join(f"w{k}x{j}" for j in range(6000)) for k in range(3)] + ["a short text"] * 2
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert classifier.classify(df).count() == 5
+    _, _, n = classifier.features(pa.array([t.encode() for t in rows]))
+    assert n[0] > 4000 and sorted(map(len, seen[-1][0])) == sorted(n[:4].tolist()) == sorted(map(len, seen[-1][1]))
+    # fewer texts, each whole
+    monkeypatch.setattr(classifier, "TRAIN_FEATURES", int(n[0] + n[1]) + 100, raising=False)
+    assert classifier.classify(df).count() == 5
+    assert 1 <= len(seen[-1][0]) < 4 and {len(at) for at in seen[-1][0]} <= set(n.tolist())
+
+
 def _packed(spark, texts, **limits):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     return packing.pack(df, entries.tokenizer(), **limits).collect()
