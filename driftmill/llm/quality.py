@@ -115,13 +115,13 @@ def _factored(sums: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Every row of docs with its statistics, base_failed, distance (squared; null where not judged) and kept.
+    """Every row of docs with its statistics, base_failed, distance (squared; null where base_failed) and kept.
 
     keep names the columns of docs that are carried along, by default all; columns of docs that clash with new ones are
     replaced. base_failed: under 50 words, or over half of the words in repeated three-word windows. A group is a language
     and source with LEAST_ROWS texts that pass the base rules; rarer sources of a language are pooled, or, if together still
     too few, join its largest group; languages without such a group are pooled, and if even these texts are fewer, they
-    aren't judged and are kept. Null languages or sources count
+    are judged by the estimate of all texts of the table that pass the base rules. Null languages or sources count
     as empty strings; null texts have no words. Repeated rows are judged alike. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -138,18 +138,26 @@ def judged(docs: DataFrame, lang_col: str = "lang", source_col: str = "source",
     sizes = sizes.join(by_lang, F.col("__g_lang") == F.col("x")).drop("x")
     alone, pooled = F.col("own") >= LEAST_ROWS, F.col("pooled") >= LEAST_ROWS
     joins = F.col("largest").isNotNull()
-    named = sizes.select("__g_lang", "__g_source", F.when(alone | pooled | joins, F.col("__g_lang")).alias("g_lang"), F.when(alone, F.col("__g_source")).when(~pooled, F.col("largest.__g_source")).alias("g_source"))
+    named = sizes.select("__g_lang", "__g_source", "own", F.when(alone | pooled | joins, F.col("__g_lang")).alias("g_lang"), F.when(alone, F.col("__g_source")).when(~pooled, F.col("largest.__g_source")).alias("g_source"))
     groups, groups_at = written(named, "groups")
+    # texts that no group can hold, even together, go by the estimate of all
+    left = groups.where("g_lang IS NULL").agg(F.sum("own")).first()[0] or 0
+    whole = 0 < left < LEAST_ROWS
+    groups = groups.drop("own")
     # null names stand for pools; from here on they are strings that no column holds
     pool = {c: F.coalesce(F.concat(F.lit("="), c), F.lit("*")) for c in ("g_lang", "g_source")}
     small = groups.limit(100_001).count() <= 100_000
     held = (lambda df: F.broadcast(df)) if small else (lambda df: df)
     rows = stats.join(held(groups.withColumns(pool)), ["__g_lang", "__g_source"], "left")
-    fit = rows.where("not base_failed").select("g_lang", "g_source", *X)
+    fit = rows.where("not base_failed")
+    if whole:
+        every = F.array_distinct(F.array(F.struct("g_lang", "g_source"), F.struct(F.lit("*").alias("g_lang"), F.lit("*").alias("g_source"))))
+        fit = fit.select(F.explode(every).alias("g"), *X).select("g.*", *X)
+    fit = fit.select("g_lang", "g_source", *X)
 
     # the first step: distances from the medians, in units of SPREAD; exact, from at most a few thousand distinct values
-    start = fit.groupBy("g_lang", "g_source").agg(F.count("*").alias("n"), *(F.percentile(X[j], 0.5).alias(f"m{j}") for j in range(4)))
-    start = start.where(F.col("n") >= LEAST_ROWS).select("g_lang", "g_source", *(f"m{j}" for j in range(4)), *(F.lit(SPREAD[j] * UNIT if j == k else 0.0).alias(f"l{j}{k}") for j, k in PAIRS))
+    start = fit.groupBy("g_lang", "g_source").agg(*(F.percentile(X[j], 0.5).alias(f"m{j}") for j in range(4)))
+    start = start.select("g_lang", "g_source", *(f"m{j}" for j in range(4)), *(F.lit(SPREAD[j] * UNIT if j == k else 0.0).alias(f"l{j}{k}") for j, k in PAIRS))
     model, model_at = written(start, "estimate")
     for _ in range(STEPS):
         near = fit.join(held(model), ["g_lang", "g_source"]).withColumn("bin", F.floor(F.log(1 + _distance()) * BINS))

@@ -100,6 +100,16 @@ def test_repeated_lines_or_words_alone_are_outliers(spark):
     assert {i: r.kept for i, r in got.items()} == {i: i < 1000 for i in got}
 
 
+@pytest.mark.parametrize("n", (200, 20))
+def test_texts_without_a_group_are_judged_by_all(spark, n):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.choice((4, 5, 6))))
+    rows = [(k, " ".join(word() for _ in range(120)), "en", "s") for k in range(n)]
+    rows += [(1000 + k, " ".join(word() + "$$$" * (k == 0) for _ in range(120)), ("xx", None, "yy")[k], "s") for k in range(3)]
+    got = quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert all(r.distance is not None for r in got) and {r.doc_id for r in got if not r.kept} == {1000}
+
+
 def test_near_duplicates_against_all_pairs(spark, texts):
     sets = {}
     for i, t in texts.items():
