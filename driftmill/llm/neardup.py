@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, codes, discard, hashes, mixed, prepare, written
@@ -242,6 +242,11 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _earlier(values: Column, v: Column) -> Column:
+    """What a member has before the list's value v, all 64 bits: others that only look alike must not rule a pair out."""
+    return F.slice(values, 1, F.array_position(values, v).cast("int") - 1)
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of docs with its shingle count and component: doc_id, n_shingles, component_id, kept.
 
@@ -324,9 +329,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     inside = outside.groupBy("v").agg(F.max("members").alias("members"), F.max("head").alias("head"))
     both = placed.select("node", F.explode("first").alias("v")).join(inside, "v")
 
-    # what a member has before the list's value, by the last 32 bits
-    last = lambda v: F.shiftright(F.shiftleft(v, 32), 32).cast("int")
-    before = F.transform(F.slice("first", 1, F.array_position("first", F.col("v")).cast("int") - 1), last)
+    before = _earlier(F.col("first"), F.col("v"))
     parts = F.ceil(F.col("members") / (BLOCK * TOGETHER))
 
     def blocks(of: DataFrame, name: str, own: str, other: str) -> DataFrame:

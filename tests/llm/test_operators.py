@@ -133,6 +133,11 @@ def test_near_duplicates_against_all_pairs(spark, texts):
     assert ours == {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
 
 
+def test_rarer_values_of_equal_low_bits_stay_apart(spark):
+    df = spark.createDataFrame([([7, 7 + (1 << 32), 7 - (1 << 40), 9, 3], 9)], "first array<bigint>, v bigint")
+    assert df.select(neardup._earlier(F.col("first"), F.col("v"))).first()[0] == [7, 7 + (1 << 32), 7 - (1 << 40)]
+
+
 def test_tokens_are_the_librarys(texts):
     e = Encoder(entries.tokenizer())
     rows = [*texts.values(), "", " ", "a  b", "it's ''s 's", "a \n b\n\nc", "<|endoftext|> x", "\x1c a\u3000b \xa0", "a\0 b"]
