@@ -48,7 +48,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", packing_stage),
 ]
 
-#: Tokens can't be expressed in SQL; tests hold run() against a brute-force version.
+#: Tokens can't be expressed in SQL; tests hold run() against the same stages called one by one, not yet against a brute-force version.
 ORACLE_SQL = None
 
 
