@@ -110,11 +110,12 @@ def test_texts_without_a_group_are_judged_by_all(spark, n):
     assert all(r.distance is not None for r in got) and {r.doc_id for r in got if not r.kept} == {1000}
 
 
-def test_near_duplicates_against_all_pairs(spark, texts):
+def _components(texts, size):
+    """(n_shingles, component_id, kept) of every id, from all pairs."""
     sets = {}
     for i, t in texts.items():
         w = WORD.findall(t.encode().lower().decode())
-        sets[i] = set(zip(w, w[1:])) if len(w) > 1 else {tuple(w)} if w else set()
+        sets[i] = {tuple(w[k : k + size]) for k in range(max(len(w) - size, 0) + 1)} if w else set()
     root = {i: i for i in sets}
 
     def find(i):
@@ -125,12 +126,58 @@ def test_near_duplicates_against_all_pairs(spark, texts):
     ids = sorted(sets)
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
-            both = len(sets[a] & sets[b])
-            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    ours = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in entries.op4_minhash_near_dedup(spark, SF).collect()}
-    assert ours == {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
+            x, y = len(sets[a]), len(sets[b])
+            if 100 * min(x, y) >= 80 * max(x, y) > 0:
+                both = len(sets[a] & sets[b])
+                if 100 * both >= 80 * (x + y - both):
+                    low, high = sorted((find(a), find(b)))
+                    root[high] = low
+    return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    folder = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    ours = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in entries.op4_minhash_near_dedup(spark, folder).collect()}
+    assert ours == _components(texts, 2)
+
+
+def test_near_duplicates_of_long_lists(spark, monkeypatch):
+    """A large group about the threshold, so that leaders join only some of it, in lists of many parts and blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", 5)
+    monkeypatch.setattr(neardup, "TOGETHER", 2)
+    monkeypatch.setattr(neardup, "TILE", 8)
+    rng = random.Random(7)
+    base = [f"b{k}" for k in range(120)]
+    texts = {}
+    for i in range(150):
+        words = list(base)
+        for k in rng.sample(range(120), rng.choice((1, 2, 4, 6, 7, 8))):
+            words[k] = f"x{rng.randrange(60)}"
+        texts[i] = " ".join(words)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for size in (2, 5):
+        ours = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df, size).collect()}
+        assert ours == _components(texts, size)
+
+
+def test_forest_against_all_pairs():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        base = np.unique(rng.integers(0, 2**63, 90).astype(np.uint64))
+        sets = [np.unique(np.concatenate([rng.choice(base, 70 + int(rng.integers(15)), replace=False), rng.integers(0, 2**63, int(rng.integers(8))).astype(np.uint64)])) for _ in range(40)]
+        side, comp = rng.integers(1, 4, 40), rng.integers(0, 40, 40)
+
+        def joined(links):
+            label = comp.copy()
+            for i, j in links:
+                label[label == label[j]] = label[i]
+            return {tuple(np.flatnonzero(label == c)) for c in label}
+
+        similar = [(i, j) for i in range(40) for j in range(40) if side[i] & 1 and side[j] & 2 and 10 * len(np.intersect1d(sets[i], sets[j])) >= 8 * len(np.union1d(sets[i], sets[j]))]
+        links = neardup._forest(np.arange(40), comp, side, sets, 80)
+        assert joined(links) == joined(similar)
+        assert len(links) < 40
 
 
 def test_rarer_values_of_equal_low_bits_stay_apart(spark):
