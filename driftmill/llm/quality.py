@@ -1,10 +1,14 @@
 """Quality rules with robust multivariate outliers, by DataFrame functions only.
 
-Base rules look at each text alone. The texts that pass are vectors of four transformed statistics; for each language and
-source the minimum-covariance-determinant estimate of their mean and covariance is found by concentration steps,
-and vectors of large Mahalanobis distance are rejected. Vectors are whole numbers (thousandths), so that a group's sums are exact
-in whatever order Spark adds them; the subset of a step ends with a whole bin of distances, so a step is
-one aggregation to at most some hundred rows a group, however many rows one group has.
+Base rules look at each text alone. The texts that pass are vectors of four transformed statistics. For each language and
+source the minimum-covariance-determinant estimate of their mean and covariance is sought: concentration steps from
+several starts, of which the one of least determinant goes on until its determinant no longer falls, then one reweighted
+step. A group's estimate is drawn towards its language's, and that towards the estimate of all, the more the fewer rows it
+has, so that a group of any size has one. Vectors of large Mahalanobis distance are rejected.
+
+Vectors are whole numbers, so that equal ones are counted once and sums are exact in whatever order Spark adds them. A step
+is one aggregation of these counts to at most some hundred bins of distance a group, however many rows one group has;
+the bin that the subset ends in counts by the share that is needed of it.
 """
 
 from __future__ import annotations
@@ -16,16 +20,20 @@ from pyspark.sql import functions as F
 
 from .common import discard, written
 
-#: Share of a group in the subset of least determinant; concentration steps; rows that a group of its own has at least.
-SHARE, STEPS, LEAST_ROWS = 0.6, 6, 60
+#: Share of a group in the subset of least determinant, and of a normal distribution in the reweighted step.
+SHARE, REWEIGHTED = 0.6, 0.975
+#: Concentration steps of every start, and at most of the best one; starts at hashed vectors beside the median and the mean.
+FIRST_STEPS, MOST_STEPS, HASHED_STARTS = 2, 30, 4
+#: So many rows does the estimate weigh that a group's own is drawn to.
+PRIOR_ROWS = 60
 #: A clean vector is rejected with about this chance.
 TAIL = 1e-3
 #: Standard deviations added to each estimate: word length (log), then the roots of symbols a word and of the shares of repeated lines and words. They
-#: keep a covariance of copies or of constant statistics regular; 0.1 is about what chance does to the root of a share of 25. Each statistic alone can
-#: exceed CUTOFF: a share of 1 is at 1 / 0.1 ** 2 = 100, one of a half, the most that passes the base rules, at 50.
-SPREAD = (0.06, 0.08, 0.1, 0.1)
-UNIT = 1000
-BINS = 24
+#: keep a covariance of copies or of constant statistics regular; 0.12 is about what chance does to the root of a share of 17 lines. Each statistic alone can
+#: exceed CUTOFF: a share of 1 is at 1 / 0.12 ** 2 = 69, one of a half, the most that passes the base rules, at 35.
+SPREAD = (0.06, 0.08, 0.12, 0.12)
+UNIT = 250
+BINS = 48
 
 WORD = r"[\x20\x09-\x0D]+"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -45,8 +53,12 @@ def chi2_quantile(p: float, df: int) -> float:
 
 
 CUTOFF = round(chi2_quantile(1 - TAIL, 4), 6)
-#: What the covariance of the inner share of a normal distribution is multiplied by.
-CONSISTENT = round(SHARE / chi2_cdf(chi2_quantile(SHARE, 4), 6), 6)
+INNER = round(chi2_quantile(REWEIGHTED, 4), 6)
+
+
+def consistent(share: float) -> float:
+    """What the covariance of the inner share of a normal distribution is multiplied by."""
+    return round(share / chi2_cdf(chi2_quantile(share, 4), 6), 6)
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -87,6 +99,10 @@ def _vector() -> dict[str, Column]:
 
 X = [f"__x{k}" for k in range(4)]
 PAIRS = [(j, k) for j in range(4) for k in range(j + 1)]
+GROUP = ["g_lang", "g_source"]
+SUMS = ["n", *(f"s{j}" for j in range(4)), *(f"p{j}{k}" for j, k in PAIRS)]
+MEANS = [f"m{j}" for j in range(4)]
+COVARIANCES = [f"c{j}{k}" for j, k in PAIRS]
 
 
 def _distance() -> Column:
@@ -100,78 +116,136 @@ def _distance() -> Column:
     return y[0] * y[0] + y[1] * y[1] + y[2] * y[2] + y[3] * y[3]
 
 
-def _factored(sums: DataFrame) -> DataFrame:
-    """Means and the covariance's Cholesky factor from n, s0.. (sums) and p00.. (sums of products)."""
+def _sums() -> dict[str, Column]:
+    """Of counted vectors: their number, sums and sums of products, as whole numbers."""
+    n = F.col("count")
+    return {"n": F.sum(n), **{f"s{j}": F.sum(n * F.col(X[j])) for j in range(4)}, **{f"p{j}{k}": F.sum(n * F.col(X[j]) * F.col(X[k])) for j, k in PAIRS}}
+
+
+def _moments(sums: DataFrame, share: float) -> DataFrame:
+    """Means m0.. and covariances c00.. from SUMS of the inner share."""
     out = sums.withColumns({f"m{j}": F.col(f"s{j}") / F.col("n") for j in range(4)})
-    out = out.withColumns({f"c{j}{k}": (F.col(f"p{j}{k}") / F.col("n") - F.col(f"m{j}") * F.col(f"m{k}")) * CONSISTENT + (F.lit((SPREAD[j] * UNIT) ** 2) if j == k else F.lit(0.0)) for j, k in PAIRS})
+    out = out.withColumns({f"c{j}{k}": (F.col(f"p{j}{k}") / F.col("n") - F.col(f"m{j}") * F.col(f"m{k}")) * consistent(share) for j, k in PAIRS})
+    return out.drop(*SUMS)
+
+
+def _factored(moments: DataFrame) -> DataFrame:
+    """Beside the moments, the Cholesky factor l00.. of the covariance with SPREAD on its diagonal, and log_det."""
+    out = moments
     for j in range(4):
         for k in range(j + 1):
-            rest = F.col(f"c{j}{k}")
+            rest = F.col(f"c{j}{k}") + (F.lit((SPREAD[j] * UNIT) ** 2) if j == k else F.lit(0.0))
             for i in range(k):
                 rest = rest - F.col(f"l{j}{i}") * F.col(f"l{k}{i}")
             # rounding alone may leave less than what SPREAD adds
             out = out.withColumn(f"l{j}{k}", F.sqrt(F.greatest(rest, F.lit((SPREAD[j] * UNIT) ** 2))) if j == k else rest / F.col(f"l{k}{k}"))
-    return out.select("g_lang", "g_source", *(f"m{j}" for j in range(4)), *(f"l{j}{k}" for j, k in PAIRS))
+    return out.withColumn("log_det", 2 * sum((F.log(f"l{j}{j}") for j in range(1, 4)), F.log("l00")))
+
+
+def _starts(cells: DataFrame) -> DataFrame:
+    """Where concentration starts in each group: its medians, its mean and covariance, and vectors of smallest hashes."""
+    middle = cells.groupBy(*GROUP).agg(*(F.percentile(X[j], 0.5, F.col("count")).alias(f"m{j}") for j in range(4)))
+    flat = middle.withColumns({c: F.lit(0.0) for c in COVARIANCES}).withColumn("start", F.lit(0))
+    whole = _moments(cells.groupBy(*GROUP).agg(*(c.alias(n) for n, c in _sums().items())), 0.999999).withColumn("start", F.lit(1))
+    picked = [F.min_by(F.struct(*X), F.struct(F.xxhash64(F.lit(k), *X), *X)).alias(f"v{k}") for k in range(HASHED_STARTS)]
+    some = cells.groupBy(*GROUP).agg(*picked).select(*GROUP, F.posexplode(F.array(*(f"v{k}" for k in range(HASHED_STARTS)))).alias("start", "v"))
+    some = some.select(*GROUP, *(F.col(f"v.{X[j]}").cast("double").alias(f"m{j}") for j in range(4)), *(F.lit(0.0).alias(c) for c in COVARIANCES), (F.col("start") + 2).alias("start"))
+    columns = [*GROUP, "start", *MEANS, *COVARIANCES]
+    return flat.select(columns).unionByName(whole.select(columns)).unionByName(some.select(columns))
+
+
+def _step(cells: DataFrame, model: DataFrame, held) -> DataFrame:
+    """A concentration step of every group and start: moments of the SHARE nearest by the model before."""
+    near = cells.join(held(_factored(model)), GROUP).withColumn("bin", F.floor(F.log(1 + _distance()) * BINS))
+    binned = near.groupBy(*GROUP, "start", "bin").agg(*(c.alias(n) for n, c in _sums().items()))
+    group = Window.partitionBy(*GROUP, "start")
+    so_far = F.coalesce(F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = binned.withColumns({"so_far": so_far, "most": SHARE * F.sum("n").over(group)}).where(F.col("so_far") < F.col("most"))
+    # whole bins add up exactly; the last one counts by what is needed of it
+    part = F.when(F.col("so_far") + F.col("n") > F.col("most"), (F.col("most") - F.col("so_far")) / F.col("n"))
+    inner = inner.withColumn("part", part)
+    both = [(F.coalesce(F.sum(F.when(F.col("part").isNull(), F.col(c))), F.lit(0)) + F.coalesce(F.max(F.when(F.col("part").isNotNull(), F.col(c) * F.col("part"))), F.lit(0.0))).alias(c) for c in SUMS]
+    return _moments(inner.groupBy(*GROUP, "start").agg(*both), SHARE)
+
+
+def estimates(cells: DataFrame, held=lambda df: df) -> tuple[DataFrame, str]:
+    """Of counted vectors (GROUP, X, count): each group's rows, means and covariances of least determinant, reweighted.
+
+    held marks small tables for a broadcast. The path of the written table comes with it.
+    """
+    spark = cells.sparkSession
+    columns = [*GROUP, "start", *MEANS, *COVARIANCES]
+    model, at = written(_starts(cells), "estimate")
+    for _ in range(FIRST_STEPS):
+        new, new_at = written(_step(cells, model, held).select(columns), "estimate")
+        discard(spark, at)
+        model, at = new, new_at
+    least = F.row_number().over(Window.partitionBy(*GROUP).orderBy("log_det", "start"))
+    best, best_at = written(_factored(model).withColumn("k", least).where("k = 1").select(*columns, "log_det", F.lit(True).alias("falls")), "estimate")
+    discard(spark, at)
+    for _ in range(MOST_STEPS):
+        if best.where("falls").isEmpty():
+            break
+        # only groups whose determinant still falls take part
+        open_ = best.where("falls").select(columns)
+        next_ = _factored(_step(cells.join(held(open_.select(*GROUP)), GROUP, "left_semi"), open_, held)).select(*columns, F.col("log_det").alias("new_det"))
+        both = best.select(*GROUP, F.struct(*columns[2:]).alias("old"), "log_det").join(held(next_.select(*GROUP, F.struct(*columns[2:]).alias("new"), "new_det")), GROUP, "left")
+        falls = F.coalesce(F.col("new_det") < F.col("log_det") - 1e-6, F.lit(False))
+        both = both.select(*GROUP, F.when(falls, F.col("new")).otherwise(F.col("old")).alias("m"), F.when(falls, F.col("new_det")).otherwise(F.col("log_det")).alias("log_det"), falls.alias("falls"))
+        new, new_at = written(both.select(*GROUP, "m.*", "log_det", "falls"), "estimate")
+        discard(spark, best_at)
+        best, best_at = new, new_at
+    near = cells.join(held(_factored(best.select(columns))), GROUP).withColumn("inside", _distance() <= INNER)
+    n = near.groupBy(*GROUP).agg(F.sum("count").alias("rows"))
+    # at least SHARE of the rows lie inside, but where most of a group is far from its densest part
+    inner = _moments(near.where("inside").groupBy(*GROUP).agg(*(c.alias(k) for k, c in _sums().items())), REWEIGHTED)
+    out = n.join(inner, GROUP, "left").join(best.select(*GROUP, *(F.col(c).alias(f"raw_{c}") for c in (*MEANS, *COVARIANCES))), GROUP)
+    out, out_at = written(out.select(*GROUP, "rows", *(F.coalesce(c, f"raw_{c}").alias(c) for c in (*MEANS, *COVARIANCES))), "estimates")
+    discard(spark, best_at)
+    return out, out_at
+
+
+def _drawn(own: DataFrame, to: DataFrame, on: list[str], held) -> DataFrame:
+    """own's moments drawn to those of `to`, which count as PRIOR_ROWS rows."""
+    to = to.select(*on, *(F.col(c).alias(f"to_{c}") for c in (*MEANS, *COVARIANCES)))
+    both = own.join(held(to), on) if on else own.crossJoin(F.broadcast(to))  # without a key it is one row
+    return both.select(*GROUP, "rows", *(((F.col("rows") * F.col(c) + PRIOR_ROWS * F.col(f"to_{c}")) / (F.col("rows") + PRIOR_ROWS)).alias(c) for c in (*MEANS, *COVARIANCES)))
 
 
 def judged(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Every row of docs with its statistics, base_failed, distance (squared; null where base_failed) and kept.
 
     keep names the columns of docs that are carried along, by default all; columns of docs that clash with new ones are
-    replaced. base_failed: under 50 words, or over half of the words in repeated three-word windows. A group is a language
-    and source with LEAST_ROWS texts that pass the base rules; rarer sources of a language are pooled, or, if together still
-    too few, join its largest group; languages without such a group are pooled, and if even these texts are fewer, they
-    are judged by the estimate of all texts of the table that pass the base rules. Null languages or sources count
-    as empty strings; null texts have no words. Repeated rows are judged alike. An empty table gives no rows.
+    replaced. base_failed: under 50 words, or over half of the words in repeated three-word windows. Null languages or
+    sources count as empty strings; null texts have no words. Every text that passes the base rules is judged by the
+    estimate of its language and source, however few these are: a group's estimate is drawn to its language's, which is
+    drawn to that of all. Repeated rows are judged alike. An empty table gives no rows.
     """
     spark = docs.sparkSession
     new = [*STATS, "base_failed", "distance", "kept"]
     carried = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    stats = with_statistics(docs.withColumns({"__g_lang": F.coalesce(F.col(lang_col), F.lit("")), "__g_source": F.coalesce(F.col(source_col), F.lit(""))}), text_col)
+    own = {"__g_lang": F.concat(F.lit("="), F.coalesce(F.col(lang_col), F.lit(""))), "__g_source": F.concat(F.lit("="), F.coalesce(F.col(source_col), F.lit("")))}
+    stats = with_statistics(docs.withColumns(own), text_col)
     stats = stats.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).withColumns(_vector())
     stats, stats_at = written(stats.select(*carried, *STATS, "base_failed", "__g_lang", "__g_source", *X), "statistics")
 
-    # which group stands for each language and source; a row for each pair
-    sizes = stats.where("not base_failed").groupBy("__g_lang", "__g_source").agg(F.count("*").alias("own"))
-    sizes = sizes.withColumn("rare", F.when(F.col("own") < LEAST_ROWS, F.col("own")).otherwise(0))
-    by_lang = sizes.groupBy(F.col("__g_lang").alias("x")).agg(F.sum("rare").alias("pooled"), F.max(F.when(F.col("own") >= LEAST_ROWS, F.struct("own", "__g_source"))).alias("largest"))
-    sizes = sizes.join(by_lang, F.col("__g_lang") == F.col("x")).drop("x")
-    alone, pooled = F.col("own") >= LEAST_ROWS, F.col("pooled") >= LEAST_ROWS
-    joins = F.col("largest").isNotNull()
-    named = sizes.select("__g_lang", "__g_source", "own", F.when(alone | pooled | joins, F.col("__g_lang")).alias("g_lang"), F.when(alone, F.col("__g_source")).when(~pooled, F.col("largest.__g_source")).alias("g_source"))
-    groups, groups_at = written(named, "groups")
-    # texts that no group can hold, even together, go by the estimate of all
-    left = groups.where("g_lang IS NULL").agg(F.sum("own")).first()[0] or 0
-    whole = 0 < left < LEAST_ROWS
-    groups = groups.drop("own")
-    # null names stand for pools; from here on they are strings that no column holds
-    pool = {c: F.coalesce(F.concat(F.lit("="), c), F.lit("*")) for c in ("g_lang", "g_source")}
-    small = groups.limit(100_001).count() <= 100_000
+    cells = stats.where("not base_failed").groupBy(F.col("__g_lang").alias("g_lang"), F.col("__g_source").alias("g_source"), *X).agg(F.count("*").alias("count"))
+    cells, cells_at = written(cells, "cells")
+    # a star stands for any; other names begin with an equals sign
+    levels = F.explode(F.array(F.struct("g_lang", "g_source"), F.struct("g_lang", F.lit("*").alias("g_source")), F.struct(F.lit("*").alias("g_lang"), F.lit("*").alias("g_source"))))
+    every = cells.select(levels.alias("g"), *X, "count").groupBy("g.g_lang", "g.g_source", *X).agg(F.sum("count").alias("count"))
+    every, every_at = written(every, "levels")
+    discard(spark, cells_at)
+    small = every.select(*GROUP).distinct().limit(20_001).count() <= 20_000
     held = (lambda df: F.broadcast(df)) if small else (lambda df: df)
-    rows = stats.join(held(groups.withColumns(pool)), ["__g_lang", "__g_source"], "left")
-    fit = rows.where("not base_failed")
-    if whole:
-        every = F.array_distinct(F.array(F.struct("g_lang", "g_source"), F.struct(F.lit("*").alias("g_lang"), F.lit("*").alias("g_source"))))
-        fit = fit.select(F.explode(every).alias("g"), *X).select("g.*", *X)
-    fit = fit.select("g_lang", "g_source", *X)
-
-    # the first step: distances from the medians, in units of SPREAD; exact, from at most a few thousand distinct values
-    start = fit.groupBy("g_lang", "g_source").agg(*(F.percentile(X[j], 0.5).alias(f"m{j}") for j in range(4)))
-    start = start.select("g_lang", "g_source", *(f"m{j}" for j in range(4)), *(F.lit(SPREAD[j] * UNIT if j == k else 0.0).alias(f"l{j}{k}") for j, k in PAIRS))
-    model, model_at = written(start, "estimate")
-    for _ in range(STEPS):
-        near = fit.join(held(model), ["g_lang", "g_source"]).withColumn("bin", F.floor(F.log(1 + _distance()) * BINS))
-        sums = [F.count("*").alias("n"), *(F.sum(X[j]).alias(f"s{j}") for j in range(4)), *(F.sum(F.col(X[j]) * F.col(X[k])).alias(f"p{j}{k}") for j, k in PAIRS)]
-        binned = near.groupBy("g_lang", "g_source", "bin").agg(*sums)
-        group = Window.partitionBy("g_lang", "g_source")
-        so_far = F.coalesce(F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        inner = binned.withColumns({"so_far": so_far, "all": F.sum("n").over(group)}).where(F.col("so_far") < SHARE * F.col("all"))
-        best = inner.groupBy("g_lang", "g_source").agg(*(F.sum(c).alias(c) for c in ["n", *(f"s{j}" for j in range(4)), *(f"p{j}{k}" for j, k in PAIRS)]))
-        new_model, new_at = written(_factored(best), "estimate")
-        discard(spark, model_at)
-        model, model_at = new_model, new_at
-    out = rows.join(held(model), ["g_lang", "g_source"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
-    return out.select(*carried, *STATS, "base_failed", "distance", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)).alias("kept"))
+    found, found_at = estimates(every, held)
+    discard(spark, every_at)
+    of_lang = _drawn(found.where("g_lang <> '*' AND g_source = '*'"), found.where("g_lang = '*'").drop(*GROUP), [], held)
+    model = _factored(_drawn(found.where("g_source <> '*'"), of_lang.drop("g_source"), ["g_lang"], held))
+    model, _ = written(model.select(F.col("g_lang").alias("__g_lang"), F.col("g_source").alias("__g_source"), *MEANS, *(f"l{j}{k}" for j, k in PAIRS)), "model")
+    discard(spark, found_at)
+    out = stats.join(held(model), ["__g_lang", "__g_source"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    return out.select(*carried, *STATS, "base_failed", "distance", (~F.col("base_failed") & (F.col("distance") <= CUTOFF)).alias("kept"))
 
 
 def quality_rules(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
