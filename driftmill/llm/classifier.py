@@ -1,8 +1,9 @@
 """Quality classifier from weak labels.
 
-Heuristic labellers vote good, bad or nothing on every text. Expectation-maximisation over the counts of vote patterns
-estimates how accurate each is and gives each pattern a probability of good; these probabilities train a logistic
-scorer on hashed words, which then scores every text.
+Heuristic labellers vote good, bad or nothing on every text. Texts are good or bad in one of a few ways (KINDS), and
+expectation-maximisation over the counts of vote patterns estimates how accurate each labeller is on texts of each kind: a
+labeller of symbols need not see repetition. Nothing but smoothing bounds an accuracy. The probabilities of good
+that follow for each pattern train a logistic scorer on hashed words, which then scores every text.
 """
 
 from __future__ import annotations
@@ -23,6 +24,13 @@ from .common import LOWER, codes, discard, mixed, prepare, written
 BUCKETS, TRAIN_ROWS, TRAIN_FEATURES = 1 << 16, 8000, 8_000_000
 
 
+#: Words of a stretch whose distinct words are counted, so that long texts are judged like short ones.
+STRETCH = 200
+
+#: Ways of being bad, by the labellers that see them for certain; the others' accuracies on them start at a guess.
+KINDS = {"noise": ("symbols", "word_length"), "tables": ("symbols", "bare"), "repetition": ("variety", "lines"), "shouting": ("shouting", "sentences")}
+
+
 def _share(part: Column, whole: Column) -> Column:
     return part / F.greatest(whole, F.lit(1))
 
@@ -38,16 +46,19 @@ def labellers(text: Column) -> dict[str, Column]:
         return F.when(bad, 0).when(good, 1).otherwise(-1).cast("int")
 
     symbols, n_words = _share(count(r"[#*$%&|<>]+"), F.size(words)), F.size(words)
+    bare = _share(F.regexp_count(text, F.lit(r"(?:^|[\x20\x09-\x0D])[#*$%&|<>~=_+-]+(?=[\x20\x09-\x0D]|$)")), n_words)
     mean = _share(F.length(F.array_join(words, "")), n_words)
-    distinct = _share(F.size(F.array_distinct(words)), n_words)
+    starts = F.sequence(F.lit(1), F.greatest(n_words, F.lit(1)), F.lit(STRETCH))
+    distinct = _share(F.aggregate(starts, F.lit(0), lambda a, k: a + F.size(F.array_distinct(F.slice(words, k, STRETCH)))), n_words)
     again = 1 - _share(F.size(F.array_distinct(lines)), F.size(lines))
     ends = _share(count(r"[.!?]+"), n_words)
     upper, digits = _share(count(r"[A-Z]+"), n), _share(count(r"[0-9]+"), n)
     return {
         "symbols": vote(symbols > 0.1, symbols < 0.01),
+        "bare": vote(bare > 0.1, bare < 0.02),
         "length": vote(n_words < 20, n_words >= 50),
         "word_length": vote((mean < 3.5) | (mean > 7.0), mean.between(4.3, 6.0)),
-        "variety": vote(distinct < F.when(n_words < 3000, 0.4).otherwise(0.1), distinct > 0.55),
+        "variety": vote(distinct < 0.4, distinct > 0.55),
         "lines": vote(again > 0.4, again < 0.05),
         "sentences": vote((ends > 0.4) | (ends < 0.004) & (n_words >= 50), ends.between(0.02, 0.25)),
         "shouting": vote(upper > 0.2, upper < 0.05),
@@ -56,33 +67,53 @@ def labellers(text: Column) -> dict[str, Column]:
 
 
 class VoteModel:
-    """Accuracies of conditionally independent labellers, and the share of good texts, by expectation-maximisation.
+    """Shares of good texts and of the kinds of bad ones, and each labeller's accuracy on either, by expectation-maximisation.
 
-    patterns: distinct vote vectors; counts: the texts with each. Each labeller has its own accuracy on good and on bad texts,
-    smoothed; the one on good texts is at least 0.95.
+    patterns: distinct vote vectors; counts: the texts with each; names: the labellers. Votes are independent given the
+    kind. right[0] is the chance that a vote on a good text says good, right[k] that one on a text of the k-th kind says
+    bad, each smoothed by one vote for and one against. Of several starts the one of greatest likelihood counts.
     """
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 200):
-        m = patterns.shape[1]
-        self.prior, self.right = 0.8, np.stack([np.full(m, 0.95), np.full(m, 0.4)])
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, names: list[str], kinds: dict[str, tuple[str, ...]] = KINDS, rounds: int = 500):
+        found = []
+        for sure in (0.7, 0.9):
+            for other in (0.1, 0.3, 0.5):
+                for share in (0.02, 0.1):
+                    right = np.stack([np.full(len(names), 0.95), *([sure if n in own else other for n in names] for own in kinds.values())])
+                    prior = np.array([1 - share * len(kinds), *(share for _ in kinds)])
+                    found.append(self._fitted(patterns, counts, prior, right, rounds))
+        self.likelihood, self.prior, self.right = max(found, key=lambda x: x[0])
+
+    @staticmethod
+    def _logs(patterns: np.ndarray, prior: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Log chance of each class and pattern."""
         good, bad = patterns == 1, patterns == 0
+        says_good = np.concatenate([right[:1], 1 - right[1:]])
+        return np.log(prior) + good @ np.log(says_good).T + bad @ np.log(1 - says_good).T
+
+    def _fitted(self, patterns, counts, prior, right, rounds) -> tuple[float, np.ndarray, np.ndarray]:
+        good, bad = patterns == 1, patterns == 0
+        before = -np.inf
         for _ in range(rounds):
-            p = self.posterior(patterns)
-            held = self.prior, self.right.copy()
-            w = counts * p, counts * (1 - p)
-            self.prior = float(np.clip(w[0].sum() / max(counts.sum(), 1), 0.05, 0.95))
-            for c, (hit, miss) in enumerate(((good, bad), (bad, good))):
-                s = w[c][:, None]
-                # a vote of bad on a good text is an exception; without this the classes may drift to other contrasts
-                self.right[c] = np.clip(((hit * s).sum(0) + 7) / (((hit | miss) * s).sum(0) + 10), 0.02 if c else 0.95, 0.9999)
-            if abs(held[0] - self.prior) + np.abs(held[1] - self.right).max() < 1e-9:
+            logs = self._logs(patterns, prior, right)
+            top = logs.max(1, keepdims=True, initial=-np.inf)
+            total = top[:, 0] + np.log(np.exp(logs - top).sum(1))
+            likelihood = float(counts @ total)
+            w = np.exp(logs - total[:, None]) * counts[:, None]
+            prior = (w.sum(0) + 1) / (w.sum() + len(prior))
+            hit = np.concatenate([(w[:, :1].T @ good), w[:, 1:].T @ bad])
+            cast = w.T @ (good | bad)
+            right = (hit + 1) / (cast + 2)
+            if likelihood - before < 1e-7 * max(counts.sum(), 1):
                 break
+            before = likelihood
+        return likelihood, prior, right
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        good, bad = patterns == 1, patterns == 0
-        r = self.right
-        odds = np.log(self.prior / (1 - self.prior)) + good @ np.log(r[0] / (1 - r[1])) + bad @ np.log((1 - r[0]) / r[1])
-        return 1 / (1 + np.exp(-odds))
+        """The chance of good."""
+        logs = self._logs(patterns, self.prior, self.right)
+        w = np.exp(logs - logs.max(1, keepdims=True, initial=-np.inf))
+        return w[:, 0] / w.sum(1)
 
 
 def _bins(name: str, x: np.ndarray, most: int) -> np.ndarray:
@@ -154,16 +185,22 @@ def classify(docs: DataFrame, threshold: float = 0.5, train_rows: int = TRAIN_RO
     prepare(spark)
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     names = list(labellers(F.col("text")))
-    voted = source.select("doc_id", F.xxhash64("text").alias("h"), *(v.alias(k) for k, v in labellers(F.col("text")).items()))
-    votes, votes_at = written(voted, "votes")
-    patterns = votes.groupBy(*names).agg(F.count("*").alias("n")).collect()  # 3 ** 8 rows at most
+    # the texts are kept with their votes, so that no text is judged twice
+    votes, _ = written(source.select("doc_id", "text", F.xxhash64("text").alias("h"), *(v.alias(k) for k, v in labellers(F.col("text")).items())), "votes")
+    patterns = votes.groupBy(*names).agg(F.count("*").alias("n")).collect()  # 3 ** 9 rows at most
     table = np.array([[r[k] for k in names] for r in patterns], np.int64).reshape(-1, len(names))
-    model = VoteModel(table, np.array([r.n for r in patterns], np.float64))
+    model = VoteModel(table, np.array([r.n for r in patterns], np.float64), names)
     chance = {tuple(t): float(p) for t, p in zip(table.tolist(), model.posterior(table) if len(table) else [])}
 
-    # texts of the smallest hashes, with their features
-    edge = votes.select("h").distinct().orderBy("h").limit(train_rows).agg(F.max("h")).first()[0]
-    discard(spark, votes_at)
+    # texts of the smallest hashes, with their features; hashes are even, so a share of their range has about that share of texts
+    n, edge = sum(r.n for r in patterns), None
+    share = 4 * train_rows / max(n, 1)
+    while n:
+        top = (1 << 63) - 1 if share >= 1 else -(1 << 63) + int(share * 2**64)
+        edge, held = votes.where(F.col("h") <= F.lit(top)).select("h").distinct().orderBy("h").limit(train_rows).agg(F.max("h"), F.count("*")).first()
+        if held >= train_rows or share >= 1:
+            break
+        share *= 8  # many repeated texts
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -172,8 +209,8 @@ def classify(docs: DataFrame, threshold: float = 0.5, train_rows: int = TRAIN_RO
             at, x = ([v.astype(kind).tobytes() for v in np.split(every, cuts)] for every, kind in ((at, "<i4"), (x, "<f4")))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("h", *names)), pa.array(n, pa.int64()), pa.array(at, pa.binary()), pa.array(x, pa.binary())], names=["h", *names, "n", "at", "x"])
 
-    few = source.withColumn("h", F.xxhash64("text")).where(F.col("h") <= F.lit(edge)).dropDuplicates(["text"]) if edge is not None else source.withColumn("h", F.xxhash64("text")).limit(0)
-    shown = few.select("h", *(v.alias(k) for k, v in labellers(F.col("text")).items()), F.col("text").cast("binary").alias("bytes"))
+    few = (votes.where(F.col("h") <= F.lit(edge)) if edge is not None else votes.limit(0)).dropDuplicates(["text"])
+    shown = few.select("h", *names, F.col("text").cast("binary").alias("bytes"))
     shown, shown_at = written(shown.mapInArrow(sparse, "h bigint, " + ", ".join(f"{k} int" for k in names) + ", n bigint, at binary, x binary"), "shown")
     total, last = 0, None
     for h, n in sorted((r["h"], r["n"]) for r in shown.select("h", "n").collect()):  # two numbers a training text
@@ -195,8 +232,8 @@ def classify(docs: DataFrame, threshold: float = 0.5, train_rows: int = TRAIN_RO
             p = [chance.get(t, model_prior) for t in zip(*(v.to_pylist() for v in own))]
             yield pa.StructArray.from_arrays([pa.array(p, pa.float64()), pa.array(s, pa.float64())], ["posterior", "score"])
 
-    model_prior = model.prior
+    model_prior = float(model.prior[0])
     score.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
     udf = arrow_udf(score, "struct<posterior:double,score:double>")
-    scored = source.select("doc_id", udf(F.col("text").cast("binary"), *labellers(F.col("text")).values()).alias("s"))
+    scored = votes.select("doc_id", udf(F.col("text").cast("binary"), *names).alias("s"))
     return scored.select("doc_id", "s.posterior", "s.score", (F.col("s.score") >= threshold).alias("kept"))
