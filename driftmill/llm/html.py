@@ -28,12 +28,16 @@ ENDS_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "html", "body",
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 
-#: Names in class, id or role of what is never main text, and of what may be.
-UNLIKELY = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|popup|modal|comments?|disqus|replies|respond|sidebar|side|rail|widget|related|recommend\w*|share|sharing|social|breadcrumbs?|menu|nav|navbar|navigation|topbar|toolbar|header|masthead|footer|footnav|legal|copyright|login|signup|subscribe|newsletter|search|pagination|pager|tags?|skip|hidden|complementary|contentinfo|alert)(?:$|[\s_-])", re.I)
+#: Names in class, id or role of what is never main text; a name counts by its last part, so that tag-list is one and tag-page isn't.
+UNLIKELY = re.compile(r"ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|popup|modal|comments?|disqus|replies|respond|sidebar|side|rail|widget|related|recommend\w*|share|sharing|social|breadcrumbs?|menu|nav|navbar|navigation|topbar|toolbar|header|masthead|footer|footnav|legal|copyright|login|signup|subscribe|newsletter|search|pagination|pager|tags?|skip|hidden|complementary|contentinfo|alert", re.I)
+#: Parts that say where or in what something stands, not what it is.
+PLACES = re.compile(r"area|bar|block|bottom|box|button|container|fixed|form|global|group|holder|inner|item|items|large|left|link|links|list|lower|main|outer|panel|primary|region|right|row|secondary|section|slot|small|sticky|top|unit|upper|wide|wrap|wrapper|\d+", re.I)
+ARTICLE = re.compile(r"(?:article|main|entry|post)[_-]?(?:body|content|text)", re.I)
 LIKELY = re.compile(r"article|body|content|entry|main|page|post|text|story", re.I)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
+# a quote opens a value only at its beginning, and only if it is closed
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?>\s+|/|=|[^\s/>=]++(?:\s*+=\s*+(?>"[^"]*+"|'[^']*+'|[^\s>]*+))?)*+)(?:>|\Z)""", re.S)
+_ATTR = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?>"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?""", re.S)
 
 
 def _spaced(text: str) -> str:
@@ -98,15 +102,27 @@ def parse(page: str) -> Node:
         node = Node(name, m[3] or "", at)
         at.children.append(node)
         if name in RAW:
+            if re.search(r"(?:^|\s)/$", m[3] or ""):
+                continue
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, place)
             node.children.append(page[place : end.start() if end else n])
             place = end.end() if end else n
-        elif name not in VOID and not (m[3] or "").endswith("/"):
+        elif name not in VOID:
             at = node
     return root
 
 
-def _dropped(node: Node) -> bool:
+def _unlikely(names: str) -> bool:
+    for name in names.split():
+        parts = [x for x in re.split(r"[_-]+", name) if x]
+        while len(parts) > 1 and PLACES.fullmatch(parts[-1]):
+            parts.pop()
+        if parts and UNLIKELY.fullmatch(parts[-1]) and not ARTICLE.search(name):
+            return True
+    return False
+
+
+def _dropped(node: Node, by_name: bool) -> bool:
     if node.name in DROPPED:
         return True
     if node.name == "header" and not any(isinstance(c, Node) and c.name in ("h1", "h2") for c in node.children):
@@ -116,19 +132,17 @@ def _dropped(node: Node) -> bool:
     own = node.attributes()
     if "hidden" in own or own.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", own.get("style", "")):
         return True
-    names = " ".join(own.get(k, "") for k in ("class", "id", "role"))
-    return bool(names) and node.name not in ("html", "body", "article", "main") and bool(UNLIKELY.search(names)) and not re.search(r"(?:^|[\s_-])(?:article|main|entry|post)[\s_-]?(?:body|content|text)", names, re.I)
+    return by_name and node.name not in ("html", "body", "article", "main") and _unlikely(node.names())
 
 
-def _prune(root: Node) -> list[Node]:
+def _prune(root: Node, by_name: bool) -> list[Node]:
     """Drop what is never main text; the rest in page order, parents before children."""
     order, wait = [], [root]
     while wait:
         node = wait.pop()
         order.append(node)
-        node.children = [c for c in node.children if isinstance(c, str) or not _dropped(c)]
+        node.children = [c for c in node.children if isinstance(c, str) or not _dropped(c, by_name)]
         wait.extend(c for c in reversed(node.children) if isinstance(c, Node))
-    # a header that is left is one with a heading: outside of an article it is the site's, not the text's
     return order
 
 
@@ -203,8 +217,14 @@ def _blocks(node: Node) -> list[str]:
 
 
 def main_text(page: str) -> str:
-    """The blocks of the main text, in page order, joined by line feeds; empty if there is none."""
-    order = _prune(parse(page))
+    """The blocks of the main text, in page order, joined by line feeds; empty if there is none.
+
+    Containers with unlikely names are dropped first; only a page that has nothing else is read with them.
+    """
+    return _best(_prune(parse(page), True)) or _best(_prune(parse(page), False))
+
+
+def _best(order: list[Node]) -> str:
     _measure(order)
     _score(order)
     every = [n for n in order if not _inline(n) and n.name not in ("#root", "html", "p", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "li", "tr") and n.length]
@@ -217,7 +237,7 @@ def main_text(page: str) -> str:
         kept = [best] if best.name != "article" else [n for n in best.parent.children if isinstance(n, Node) and (n is best or n.name == "article" and n.points >= 0.5 * best.points)]
     else:
         kept = []
-        least = max(10, 0.2 * best.points)
+        least = 0.2 * best.points
         for n in best.parent.children:
             if not isinstance(n, Node) or _inline(n):
                 continue
@@ -231,7 +251,8 @@ def main_text(page: str) -> str:
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages with one more column, text: the page's main text; null and empty pages have an empty one.
 
-    The whole page is read and no text is cut. A column of pages named text is replaced.
+    The whole page is read, however long, and no text is cut. Repeated rows stay, each with its text; an empty table gives
+    no rows. A column of pages named text is replaced.
     """
     prepare(pages.sparkSession)
 
