@@ -2,8 +2,8 @@
 
 The corpus is cut into segments of whole documents. Each segment is one row of the index table: its terms, their
 counts, and for each term the ascending list of its positions. A phrase is found in a segment by shifting the lists of
-its terms by their places in the phrase and intersecting them, from the term that is rarest in the whole corpus. As a
-segment is one row, a search moves no postings, and a lost executor costs the segments it was working on.
+its terms by their places in the phrase and intersecting them, from the term that is rarest in the whole corpus; all
+phrases go through these steps together, as columns of candidates that get fewer with each term. As a segment is one row, a search moves no postings, and a lost executor costs the segments it was working on.
 """
 
 from __future__ import annotations
@@ -23,6 +23,9 @@ SEGMENT_WORDS = 1_000_000
 #: Words of test items that are looked for in one pass; more items take more passes.
 BLOCK_WORDS = 2_000_000
 
+#: Windows and candidate positions that are held at once in a segment.
+WINDOWS, CANDIDATES = 50_000, 2_000_000
+
 #: A-Z become a-z; digits, a-z and all bytes of non-ASCII characters stay; all else parts words.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -100,7 +103,8 @@ class Postings:
     def __init__(self, terms: list[bytes], counts: np.ndarray, positions: np.ndarray, wanted: dict[bytes, int]):
         self.ends = np.cumsum(counts)
         self.counts, self.positions = counts, positions
-        self.slot = np.full(len(wanted), -1, np.int64)
+        self.at: np.ndarray | None = None
+        self.slot = np.full(len(wanted), -1, np.int32)
         for k, term in enumerate(terms):
             if (i := wanted.get(term)) is not None:
                 self.slot[i] = k
@@ -109,18 +113,34 @@ class Postings:
         k = self.slot[term]
         return self.positions[self.ends[k] - self.counts[k] : self.ends[k]]
 
-    def phrase(self, terms: np.ndarray, order: np.ndarray) -> np.ndarray:
-        """Where the terms stand one after the other."""
-        found = None
-        for j in order:
-            own = self.of(terms[j]) - j
-            if found is None:
-                found = own
-            else:
-                found = found[own[np.minimum(np.searchsorted(own, found), len(own) - 1)] == found]
-            if not len(found):
-                break
-        return found
+    def phrases(self, windows: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of windows (of equal length) whose terms stand one after the other, and where; order ranks each row's terms."""
+        if self.at is None:  # the lists' other side: which term stands at a position
+            self.at = np.full(int(self.positions.max(initial=-1)) + 1, -1, np.int32)
+            self.at[self.positions] = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
+        rows, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for begin in range(0, len(windows), WINDOWS):
+            own = self.slot[windows[begin : begin + WINDOWS]]
+            alive = np.flatnonzero((own >= 0).all(1))
+            own, rank = own[alive], order[begin + alive]
+            rarest = own[np.arange(len(own)), rank[:, 0]]
+            n = self.counts[rarest]
+            part = np.cumsum(n) // CANDIDATES
+            for k in np.unique(part):
+                of = np.flatnonzero(part == k)
+                # the shifted lists of each window's rarest term, end to end
+                row = np.repeat(of, n[of])
+                first = self.ends[rarest[row]] - n[row]
+                place = self.positions[first + np.arange(len(row)) - np.repeat(np.cumsum(n[of]) - n[of], n[of])].astype(np.int64) - rank[row, 0]
+                for j in range(1, own.shape[1]):
+                    step = rank[row, j]
+                    at = place + step
+                    inside = (at >= 0) & (at < len(self.at))
+                    inside &= self.at[np.where(inside, at, 0)] == own[row, step]
+                    row, place = row[inside], place[inside]
+                rows.append(begin + alive[row])
+                places.append(place)
+        return np.concatenate(rows), np.concatenate(places)
 
     def near(self, terms: np.ndarray, order: np.ndarray, slop: int) -> np.ndarray:
         """First and last positions (two columns) where the terms stand in this order with at most slop words between them."""
@@ -159,25 +179,21 @@ def search(index: DataFrame, items: DataFrame, width: int = 10, slop: int = 0, i
     Items are looked for in blocks of at most BLOCK_WORDS words, so what is sent to the executors is bounded; with more
     than one block the documents' spans are merged by segment and place afterwards.
     """
-    spark = index.sparkSession
-    blocks: list[tuple[dict, dict]] = []
+    own = index.schema["doc_ids"].dataType.elementType
+    schema = T.StructType().add("segment", T.LongType()).add("place", T.IntegerType()).add("doc_id", own).add("n_words", T.LongType()).add("spans", T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()))).add("items", T.ArrayType(T.StringType()))
+    found: list[DataFrame] = []
     vocab: dict[bytes, int] = {}
-    windows: dict[tuple, set] = {}
+    block: list[tuple[str, np.ndarray]] = []
     size = 0
     for row in items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")), text_col).toLocalIterator():
-        own = words(row[1])
-        if size and size + len(own) > BLOCK_WORDS:
-            blocks.append((vocab, windows))
-            vocab, windows, size = {}, {}, 0
-        numbers = [vocab.setdefault(w, len(vocab)) for w in own]
-        size += len(own)
-        for k in range(max(1, len(own) - width + 1) if own else 0):
-            windows.setdefault(tuple(numbers[k : k + width]), set()).add(row[0])
-    blocks.append((vocab, windows))
-
-    own = index.schema["doc_ids"].dataType.elementType
-    schema = T.StructType().add("segment", T.LongType()).add("place", T.IntegerType()).add("doc_id", own).add("n_words", T.LongType()).add("spans", T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()))).add("items", T.ArrayType(T.StringType()))
-    found = [_searched(index, vocab, windows, slop, schema, counts) for vocab, windows in blocks]
+        own_words = words(row[1])
+        if size and size + len(own_words) > BLOCK_WORDS:
+            found.append(_searched(index, vocab, block, width, slop, schema, counts))
+            vocab, block, size = {}, [], 0
+        if own_words:
+            block.append((row[0], np.array([vocab.setdefault(w, len(vocab)) for w in own_words], np.int32)))
+        size += len(own_words)
+    found.append(_searched(index, vocab, block, width, slop, schema, counts))
     if len(found) == 1:
         return found[0].drop("segment", "place")
     every = found[0]
@@ -193,7 +209,7 @@ def search(index: DataFrame, items: DataFrame, width: int = 10, slop: int = 0, i
     return every.select("doc_id", "n_words", F.expr(merged).alias("spans"), "items")
 
 
-def _searched(index: DataFrame, vocab: dict[bytes, int], windows: dict[tuple, set], slop: int, schema: T.StructType, counts: bool) -> DataFrame:
+def _searched(index: DataFrame, vocab: dict[bytes, int], block: list[tuple[str, np.ndarray]], width: int, slop: int, schema: T.StructType, counts: bool) -> DataFrame:
     spark = index.sparkSession
     seen = np.zeros(len(vocab), np.int64)
     if counts and vocab:
@@ -201,15 +217,24 @@ def _searched(index: DataFrame, vocab: dict[bytes, int], windows: dict[tuple, se
         each = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).select(F.col("t.terms").alias("term"), F.col("t.counts").cast("long").alias("n"))
         for row in each.join(wanted, "term").groupBy("term").agg(F.sum("n").alias("n")).collect():
             seen[vocab[bytes(row.term)]] = row.n
-    # a window with a word that the corpus lacks can't occur
-    asked = [(np.array(w), np.argsort(seen[list(w)], kind="stable"), sorted(i)) for w, i in windows.items() if not counts or seen[list(w)].all()]
-    sent = spark.sparkContext.broadcast((vocab, asked))
+    # windows by length, the items that they are of, and their terms' places from the rarest on
+    names = sorted({name for name, _ in block})
+    number = {name: k for k, name in enumerate(names)}
+    asked = []
+    for n in sorted({min(len(own), width) for _, own in block}):
+        cut = [(number[name], np.lib.stride_tricks.sliding_window_view(own, n)) for name, own in block if min(len(own), width) == n]
+        of, windows = np.repeat([k for k, _ in cut], [len(w) for _, w in cut]), np.concatenate([w for _, w in cut])
+        if counts:  # a window with a word that the corpus lacks can't occur
+            there = seen[windows].all(1)
+            of, windows = of[there], windows[there]
+        asked.append((of.astype(np.int32), windows, np.argsort(seen[windows], axis=1, kind="stable").astype(np.int16)))
+    sent = spark.sparkContext.broadcast((vocab, names, asked))
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        vocab, asked = sent.value
+        vocab, names, asked = sent.value
         for batch in batches:
             for i in range(len(batch)):
                 key, ids, n_words, terms, n, positions = (c.slice(i, 1) for c in batch.columns)
@@ -217,22 +242,26 @@ def _searched(index: DataFrame, vocab: dict[bytes, int], windows: dict[tuple, se
                 posted = Postings(terms.flatten().to_pylist(), n.flatten().to_numpy(), np.frombuffer(positions[0].as_buffer(), "<i4"), vocab)
                 begins = np.cumsum(n_words + 1) - n_words - 1
                 hit: list[np.ndarray] = []
-                within: dict[int, set] = {}
-                for w, order, names in asked:
-                    if (posted.slot[w] < 0).any():
-                        continue
+                items_of: list[np.ndarray] = []
+                for of, windows, order in asked:
                     if slop:
-                        at = posted.near(w, order, slop)
-                        at = at[np.searchsorted(begins, at[:, 0], "right") == np.searchsorted(begins, at[:, 1], "right")]
+                        at, rows = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
+                        for k in np.flatnonzero((posted.slot[windows] >= 0).all(1)):
+                            near = posted.near(windows[k], order[k], slop)
+                            at.append(near[np.searchsorted(begins, near[:, 0], "right") == np.searchsorted(begins, near[:, 1], "right")])
+                            rows.append(np.full(len(at[-1]), k))
+                        at, rows = np.concatenate(at), np.concatenate(rows)
                     else:
-                        at = posted.phrase(w, order)
-                        at = np.stack([at, at + len(w) - 1], 1)
-                    if len(at):
-                        hit.append(at)
-                        for d in np.unique(np.searchsorted(begins, at[:, 0], "right") - 1):
-                            within.setdefault(int(d), set()).update(names)
+                        rows, at = posted.phrases(windows, order)
+                        at = np.stack([at, at + windows.shape[1] - 1], 1)
+                    hit.append(at)
+                    items_of.append(np.stack([np.searchsorted(begins, at[:, 0], "right") - 1, of[rows]], 1))
+                within: dict[int, list] = {}
+                if items_of:
+                    for d, k in np.unique(np.concatenate(items_of), axis=0).tolist():
+                        within.setdefault(d, []).append(names[k])
                 spans = np.zeros((0, 2), np.int64)
-                if hit:
+                if sum(map(len, hit)):
                     spans = np.concatenate(hit).astype(np.int64)
                     spans[:, 1] += 1
                     spans = _union(spans)
