@@ -23,13 +23,16 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one of our own only where none is set."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that the driver and all executors share; a temporary one only in local mode, where nothing else is set."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir")
     if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        held = context._jsc.sc().getCheckpointDir()
         if held.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="driftmill-"))
-            held = spark.sparkContext._jsc.sc().getCheckpointDir()
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="driftmill-"))
+            held = context._jsc.sc().getCheckpointDir()
         root = held.get()
     return root.rstrip("/")
 
@@ -39,17 +42,19 @@ def _path(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """df as a Parquet table in the shared folder, which outlives any executor, and its path.
-
-    The table goes when the application ends, or earlier by ``discard``.
-    """
-    spark = df.sparkSession
+def fresh(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder, which outlives any executor. It goes when the application ends, or earlier by ``discard``."""
     path = f"{shared_root(spark)}/driftmill-{uuid.uuid4().hex}-{label}"
-    df.write.option("compression", "zstd").parquet(path)
     at, fs = _path(spark, path)
     fs.deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path), path
+    return path
+
+
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """df as a Parquet table at a fresh path, and this path."""
+    path = fresh(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def discard(spark: SparkSession, *paths: str) -> None:

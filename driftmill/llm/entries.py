@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import classifier, decontaminate, html, neardup, packing, quality, secrets, substrings, tokenfile, urls
-from .common import shared_root
+from .common import fresh
 from .oracles import ORACLES
 
 
@@ -43,7 +42,7 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_root(spark)}/driftmill-{uuid.uuid4().hex}-tokens"
+    folder = fresh(spark, "tokens")
     tokenfile.write_tokens(_table(spark, sf_dir, "documents"), folder, tokenizer(), end=0)
     read = tokenfile.read_tokens(spark, folder)
     return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
@@ -76,10 +75,23 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(_table(spark, sf_dir, "documents"), tokenizer(), end=1)
+    # plain documents: every token bears loss, and a sequence may hold as many pieces as tokens, so that short ones fill it too
+    packed = packing.pack(_table(spark, sf_dir, "documents"), tokenizer(), segments=2048, end=1)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruction data: each assistant's turn with the turn before it, which bears no loss, under all three limits."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    # of repeated turns, the smallest text is the prompt, so that none multiplies the answers
+    prompts = turns.groupBy(F.col("conv_id").alias("c"), F.col("turn").alias("t")).agg(F.min("text").alias("prompt"))
+    answers = turns.where(F.col("role") == "assistant")
+    rows = answers.join(prompts, (F.col("conv_id") == F.col("c")) & (F.col("turn") - 1 == F.col("t")), "left")
+    rows = rows.select(F.struct("conv_id", "turn").alias("example"), "prompt", "text")
+    packed = packing.pack(rows, tokenizer(), segments=32, end=1, loss=1536, id_col="example", prompt_col="prompt")
+    return packed.select("doc_id.*", "start", "length", "loss", F.crc32("ids").alias("ids_crc32"), F.col("doc_tokens").alias("example_tokens"), "sequence_id", "offset")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,7 +99,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_benchmark_decontamination, op2_quality_rules, op3_quality_classifier, op4_minhash_near_dedup, op5_token_id_output, op6_url_filters, op7_substring_dedup, op8_secret_scans, op9_html_extraction, op10_packing, pipeline)
+    own = (op1_benchmark_decontamination, op2_quality_rules, op3_quality_classifier, op4_minhash_near_dedup, op5_token_id_output, op6_url_filters, op7_substring_dedup, op8_secret_scans, op9_html_extraction, op10_packing, packed_conversations, pipeline)
     return {f.__name__: f for f in own}
 
 

@@ -238,7 +238,8 @@ def _long_run(text: bytes, pattern: re.Pattern, rule: Rule) -> bool:
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """docs with one more column, secrets: array of struct kind, start, end (code points, end exclusive), by start, then rule.
 
-    Matches of one kind don't overlap; of different kinds they may. Null and empty texts have an empty array. A column
+    Matches of one kind don't overlap; of different kinds they may. Null and empty texts have an empty array; very long
+    texts are read whole; repeated rows have the same spans each; an empty table gives no rows. A column
     of docs that is itself named secrets is replaced.
     """
     prepare(docs.sparkSession)
@@ -257,11 +258,16 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every secret in the text replaced by mark; overlapping spans are one. Texts without secrets stay as they are."""
-    found = find_secrets(docs, rules, text_col)
+    """docs, with its columns, with every secret in the text replaced by mark; overlapping spans are one.
+
+    Texts without secrets, null ones too, stay as they are. No column is lost, whatever its name.
+    """
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    found = find_secrets(rows, rules, "text")
 
     # the end so far and the text so far; spans come by start
     step = """aggregate(secrets, named_struct('at', 0, 'out', ''), (a, s) -> if(s.end <= a.at, a,
-        named_struct('at', s.end, 'out', if(s.start < a.at, a.out, concat(a.out, substring({t}, a.at + 1, s.start - a.at), '{m}')))),
-        a -> concat(a.out, substring({t}, a.at + 1)))""".format(t=f"`{text_col}`", m=mark)
-    return found.withColumn(text_col, F.when(F.size("secrets") > 0, F.expr(step)).otherwise(F.col(text_col))).drop("secrets")
+        named_struct('at', s.end, 'out', if(s.start < a.at, a.out, concat(a.out, substring(text, a.at + 1, s.start - a.at), '{m}')))),
+        a -> concat(a.out, substring(text, a.at + 1)))""".format(m=mark)
+    clean = F.when(F.size("secrets") > 0, F.expr(step)).otherwise(F.col("text"))
+    return found.select(*(clean.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
