@@ -5,6 +5,7 @@ import json
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -69,11 +70,10 @@ def test_quality_statistics_and_verdict(spark, docs, texts):
     for r in quality.judged(docs).collect():
         w = WORD.findall(texts[r.doc_id])
         three = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
-        seen = {t for t in three if three.count(t) > 1} if len(three) < 3000 else None
+        seen = {t for t, n in Counter(three).items() if n > 1}
         lines = [x for x in texts[r.doc_id].split("\n") if WORD.search(x)]
         assert (r.n_words, r.word_chars, r.n_dup_lines) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)))
-        if seen is not None:
-            assert r.n_repeat_words == len({p for k, t in enumerate(three) if t in seen for p in (k, k + 1, k + 2)})
+        assert r.n_repeat_words == len({p for k, t in enumerate(three) if t in seen for p in (k, k + 1, k + 2)})
         assert r.base_failed == (len(w) < 50 or 100 * r.n_repeat_words > 50 * len(w))
         assert not (r.base_failed and r.kept)
 
@@ -290,7 +290,7 @@ def test_training_sees_whole_texts(spark, monkeypatch):
 
 def _packed(spark, texts, **limits):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return packing.pack(df, entries.tokenizer(), **limits).collect()
+    return packing.pack(df, entries.tokenizer(), **({"segments": 64} | limits)).collect()
 
 
 def test_packing_loses_nothing_and_keeps_limits(spark, texts):
@@ -324,13 +324,13 @@ def test_odd_rows(spark, odd):
     assert neardup.without_duplicates(odd).columns == odd.columns
     assert substrings.repeated_spans(odd).count() == n
     assert secrets.find_secrets(odd).where(F.size("secrets") == 0).count() == n
-    assert packing.pack(odd, entries.tokenizer()).select("doc_id").distinct().count() == 7
+    assert packing.pack(odd, entries.tokenizer(), 64).select("doc_id").distinct().count() == 7
 
 
 def test_empty_tables(spark, odd):
     none = odd.limit(0)
     items = spark.createDataFrame([], "item_id string, text string")
-    for df in (decontaminate.decontaminate(none, items), quality.judged(none), classifier.classify(none), neardup.near_duplicates(none), substrings.repeated_spans(none), secrets.find_secrets(none), packing.pack(none, entries.tokenizer())):
+    for df in (decontaminate.decontaminate(none, items), quality.judged(none), classifier.classify(none), neardup.near_duplicates(none), substrings.repeated_spans(none), secrets.find_secrets(none), packing.pack(none, entries.tokenizer(), 64)):
         assert df.count() == 0
 
 
