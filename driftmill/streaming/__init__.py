@@ -1 +1 @@
-
+"""Structured Streaming: the control chart with state, and windows with watermarks."""
