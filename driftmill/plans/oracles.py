@@ -1,4 +1,4 @@
-"""DuckDB SQL for the queries, written from the definitions."""
+"""SQL that several queries' definitions share."""
 
 IMAGES = """raw AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS k FROM embeddings),
   ends AS (SELECT vec_id, min(x) AS low, max(x) AS high FROM raw GROUP BY vec_id),
@@ -32,67 +32,15 @@ c AS (SELECT user_id, t, z, 0.2 * z AS ewma, greatest(0, z - 0.5) AS p, least(0,
 chart AS (SELECT user_id, t, round(ewma, 6) AS ewma, round(p, 6) AS cusum_pos, round(n, 6) AS cusum_neg, round(z, 6) AS z, CAST(run AS BIGINT) AS run,
   CASE WHEN run >= 3 THEN 'PERSISTENT_DRIFT' WHEN run > 0 THEN 'DRIFT_SIGNAL' ELSE 'STABLE' END AS status FROM c)"""
 
-FORECASTS = f"""WITH {SERIES}, f AS (SELECT user_id, t, value AS actual, lag(value) OVER w AS persistence,
+FORECASTS = f"""WITH RECURSIVE {SERIES}, l AS (SELECT user_id, t, value AS level FROM s WHERE t = 0 UNION ALL SELECT s.user_id, s.t, 0.3 * s.value + 0.7 * l.level FROM l JOIN s ON s.user_id = l.user_id AND s.t = l.t + 1),
+d AS (SELECT user_id, avg(abs(value - b)) AS scale FROM (SELECT user_id, t, value, lag(value) OVER (PARTITION BY user_id ORDER BY t) AS b FROM s) WHERE t BETWEEN 1 AND 9 GROUP BY user_id),
+f AS (SELECT user_id, t, value AS actual, lag(value) OVER w AS persistence,
     avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS moving_average,
     regr_slope(value, t) OVER b * t + regr_intercept(value, t) OVER b AS linear_trend FROM s
   WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id), b AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-made AS (SELECT * FROM f WHERE t >= 10)"""
+made AS (SELECT f.*, l.level AS exponential_smoothing, d.scale FROM f JOIN l ON l.user_id = f.user_id AND l.t = f.t - 1 JOIN d ON d.user_id = f.user_id WHERE f.t >= 10)"""
 
 TURNS = "e AS (SELECT DISTINCT conv_id * 1000 + turn AS id, conv_id * 1000 + greatest(turn - 1, 0) AS parent FROM conversations)"
 ROOTS = f"""{TURNS}, walk AS (SELECT id, id AS here, parent AS nxt FROM e
   UNION ALL SELECT w.id, w.nxt, p.parent FROM walk w LEFT JOIN e p ON p.id = w.nxt WHERE w.nxt IS NOT NULL AND w.nxt <> w.here),
 roots AS (SELECT id, here AS root FROM walk WHERE nxt IS NULL OR nxt = here)"""
-
-ORACLES = {
-    "intensity_stats": f"""WITH {IMAGES}, a AS (SELECT vec_id, avg(v) AS mean, stddev_pop(v) AS std, quantile_cont(v, 0.05) AS p5, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.95) AS p95 FROM px GROUP BY vec_id)
-      SELECT vec_id, round(mean, 6) AS mean, round(std, 6) AS std, round(std / (mean + 1e-8), 6) AS rms_contrast, round(1 / (1 + std / (mean + 1e-8)), 6) AS uniformity, round(p5, 6) AS p5, round(p50, 6) AS p50, round(p95, 6) AS p95 FROM a""",
-    "image_entropy": f"""WITH {IMAGES}, h AS (SELECT vec_id, least(floor(v * 256), 255) AS b, count(*) / 64 AS p FROM px GROUP BY 1, 2)
-      SELECT vec_id, round(-sum(p * log2(p)), 6) AS entropy FROM h GROUP BY vec_id""",
-    "image_gradient": f"""WITH {IMAGES}, {_stencil("gx", _X)}, {_stencil("gy", _Y)}, g AS (SELECT vec_id, sqrt(gx.v * gx.v + gy.v * gy.v) AS g FROM gx JOIN gy USING (vec_id, k)),
-      q AS (SELECT vec_id, quantile_cont(g, 0.9) AS p90 FROM g GROUP BY vec_id)
-      SELECT vec_id, round(avg(g), 6) AS gradient_mean, round(stddev_pop(g), 6) AS gradient_std, round(max(g), 6) AS gradient_max, round(avg(CASE WHEN g >= p90 THEN 1.0 ELSE 0 END), 6) AS dense FROM g JOIN q USING (vec_id) GROUP BY vec_id""",
-    "image_sharpness": f"""WITH {IMAGES}, {_stencil("l", _L)}, {_stencil("s", _G)}
-      SELECT vec_id, round(var_pop(l.v), 6) AS sharpness, round(stddev_pop(px.v - s.v) / (avg(px.v) + 1e-8), 6) AS speckle FROM px JOIN l USING (vec_id, k) JOIN s USING (vec_id, k) GROUP BY vec_id""",
-    "calibration_stats": "WITH m AS (SELECT median(value) AS m FROM events) SELECT count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(any_value(m), 6) AS median, round(median(abs(value - m)), 6) AS mad, round(min(value), 6) AS min, round(max(value), 6) AS max, "
-    + ", ".join(f"round(quantile_cont(value, {p / 100}), 6) AS p{p}" for p in (1, 5, 25, 50, 75, 95, 99))
-    + " FROM events, m",
-    "variability_by_feature": f"""WITH {LONG}, m AS (SELECT feature, median(v) AS m FROM long GROUP BY feature)
-      SELECT feature, count(v) AS n, round(avg(v), 7) AS mean, round(stddev_samp(v), 7) AS std, round(any_value(m), 7) AS median, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 7) AS iqr, round(median(abs(v - m)), 7) AS mad,
-      round(stddev_samp(v) / abs(avg(v)), 7) AS cv, stddev_samp(v) / abs(avg(v)) < 0.01 AS near_constant FROM long JOIN m USING (feature) GROUP BY feature""",
-    "pooled_and_group_stats": f"WITH {LONG} SELECT feature, l_returnflag, count(v) AS n, round(avg(v), 7) AS mean, round(stddev_pop(v), 7) AS std, round(min(v), 7) AS min, round(max(v), 7) AS max FROM long GROUP BY GROUPING SETS ((feature, l_returnflag), (feature))",
-    "pearson_pairs": " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lineitem" for a, b in PAIRS),
-    "spearman_pairs": "WITH r AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {f}) + (count(*) OVER (PARTITION BY {f}) - 1) / 2 AS {f}" for f in F4) + " FROM lineitem) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM r" for a, b in PAIRS),
-    "two_sample_tests": f"""WITH {LONG}, x AS (SELECT feature, count(v) FILTER (l_returnflag = 'A') AS na, count(v) FILTER (l_returnflag = 'N') AS nb, avg(v) FILTER (l_returnflag = 'A') AS ma, avg(v) FILTER (l_returnflag = 'N') AS mb, var_samp(v) FILTER (l_returnflag = 'A') AS va, var_samp(v) FILTER (l_returnflag = 'N') AS vb FROM long GROUP BY feature),
-      c AS (SELECT DISTINCT feature, v, count(*) FILTER (l_returnflag = 'A') OVER w AS a, count(*) FILTER (l_returnflag = 'N') OVER w AS b FROM long WHERE l_returnflag IN ('A', 'N') WINDOW w AS (PARTITION BY feature ORDER BY v)),
-      k AS (SELECT feature, max(abs(a / na - b / nb)) AS ks FROM c JOIN x USING (feature) GROUP BY feature)
-      SELECT feature, round(ma, 6) AS mean_a, round(mb, 6) AS mean_b, round((ma - mb) / sqrt((va + vb) / 2), 6) AS smd, round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 6) AS cohens_d, round(ks, 6) AS ks,
-      abs((ma - mb) / sqrt((va + vb) / 2)) >= 0.5 OR ks >= 0.2 AS domain_sensitive FROM x JOIN k USING (feature)""",
-    "confusion_metrics": """WITH c AS (SELECT count(*) FILTER (n_chars < 600 AND quality = 0) AS tp, count(*) FILTER (n_chars < 600 AND quality <> 0) AS fp, count(*) FILTER (n_chars >= 600 AND quality <> 0) AS tn, count(*) FILTER (n_chars >= 600 AND quality = 0) AS fn FROM labels JOIN documents USING (doc_id)),
-      r AS (SELECT *, coalesce(tp / nullif(tp + fn, 0), 0) AS tpr, coalesce(fp / nullif(fp + tn, 0), 0) AS fpr, coalesce(tp / nullif(tp + fp, 0), 0) AS ppv, coalesce(tn / nullif(tn + fn, 0), 0) AS npv FROM c)
-      SELECT tp, fp, tn, fn, round(tpr, 6) AS detection_rate, round(fpr, 6) AS false_positive_rate, round(1 - fpr, 6) AS specificity, round(ppv, 6) AS precision, round(coalesce(2 * ppv * tpr / nullif(ppv + tpr, 0), 0), 6) AS f1, round(npv, 6) AS negative_predictive_value, round((tpr + 1 - fpr) / 2, 6) AS balanced_accuracy FROM r""",
-    "wilson_intervals": """WITH g AS (SELECT l_linestatus, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS hits FROM lineitem GROUP BY 1), p AS (SELECT *, hits / n AS p, 1.959963984540054::DOUBLE AS z FROM g)
-      SELECT l_linestatus, n, hits, round(greatest(0, (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n))) / (1 + z * z / n)), 6) AS low, round(least(1, (p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n))) / (1 + z * z / n)), 6) AS high FROM p""",
-    "control_chart": f"{CHART} SELECT * FROM chart",
-    "state_counts": f"{CHART} SELECT status, count(*) AS n FROM chart GROUP BY status",
-    "trend_ols": f"""WITH {SERIES}, r AS (SELECT user_id, count(*) AS n, regr_slope(value, t) AS slope, regr_intercept(value, t) AS intercept, least(1, greatest(0, regr_r2(value, t))) AS r2 FROM s GROUP BY user_id)
-      SELECT user_id, n, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2, CASE WHEN slope > 0.01 THEN 'INCREASING' WHEN slope < -0.01 THEN 'DECREASING' ELSE 'STABLE' END AS direction, round(abs(slope) * sqrt(r2), 6) AS strength, round(slope * n + intercept, 6) AS next FROM r""",
-    "rolling_forecasts": f"{FORECASTS} SELECT user_id, t, round(actual, 6) AS actual, round(persistence, 6) AS persistence, round(moving_average, 6) AS moving_average, round(linear_trend, 6) AS linear_trend FROM made",
-    "forecast_benchmark": f"""{FORECASTS}, long AS (SELECT * FROM made UNPIVOT (forecast FOR model IN (persistence, moving_average, linear_trend))),
-      e AS (SELECT user_id, model, count(*) AS n, avg(abs(forecast - actual)) AS mae, sqrt(avg((forecast - actual) ^ 2)) AS rmse FROM long GROUP BY 1, 2)
-      SELECT e.user_id, e.model, e.n, round(e.mae, 6) AS mae, round(e.rmse, 6) AS rmse, round(CASE WHEN p.mae > 0 THEN e.mae / p.mae END, 6) AS relative_mae FROM e JOIN e p ON p.user_id = e.user_id AND p.model = 'persistence'""",
-    "conformal_radius": f"""{FORECASTS}, r AS (SELECT user_id, abs(actual - moving_average) AS radius, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY abs(actual - moving_average)) AS rank FROM made)
-      SELECT user_id, n, rank, round(radius, 6) AS radius FROM r WHERE rank = least(n, CAST(ceil((n + 1) * 0.9::DOUBLE) AS BIGINT))""",
-    "fused_state": """WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS q, l_discount AS d, l_tax AS x, least(1, greatest(0, l_quantity / 40)) AS s, list_filter([10 * l_discount, 10 * l_tax, CASE WHEN l_discount > 0.02 THEN l_discount END], lambda v: v IS NOT NULL) AS e FROM lineitem),
-      b AS (SELECT *, 1 - abs(s - 10 * d) AS agreement, 0.35 * s + 0.35 * (10 * d) + 0.15 * least(1, greatest(0, 1 - 1000 * x / 100)) + 0.15 * (5 * d) AS raw, 0.6 * (100 - q) + 0.4 * least(100, 100 * exp(-(30 * x) / 3)) AS h, list_avg(e) AS m, list_stddev_pop(e) AS sd FROM a),
-      c AS (SELECT *, least(1, greatest(0, raw * (0.75 + 0.25 * agreement))) AS fused, least(1, greatest(0, 0.6 * (1 - d) + 0.4 * agreement)) AS confidence FROM b)
-      SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, round(fused, 7) AS fused, round(confidence, 7) AS confidence, round(h, 7) AS health, round(least(1, 2 * sd), 7) AS disagreement,
-        CASE WHEN 40 * m > 18 OR h < 50 THEN 'HIGH_DEVIATION' WHEN 40 * m > 9 OR h < 70 OR fused >= 0.75 THEN 'EARLY_DRIFT' WHEN fused >= 0.4 OR h < 85 THEN 'WATCH' ELSE 'NOMINAL' END AS state FROM c""",
-    "lineage_roots": f"WITH RECURSIVE {ROOTS} SELECT id, root FROM roots",
-    "lineage_partition": f"""WITH RECURSIVE {ROOTS}, g AS (SELECT root, count(*) AS n FROM roots GROUP BY root), b AS (SELECT *, coalesce(sum(n) OVER (ORDER BY CAST(root AS VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g),
-      t AS (SELECT sum(n) AS held FROM b WHERE before < 100) SELECT root, n, CASE WHEN before < 100 THEN 'baseline' WHEN before < held + 50 THEN 'holdout' ELSE 'test' END AS part FROM b, t""",
-    "exact_duplicates": "SELECT sha256(coalesce(text, '')) AS sha256, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1",
-    "missing_fields": " UNION ALL ".join(f"SELECT count(*) AS rows, '{c}' AS field, count(*) FILTER ({c} IS NULL OR trim({c}) = '') AS missing FROM documents" for c in ("text", "lang", "source")),
-    "near_hash_pairs": """WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS s FROM embeddings)
-      SELECT a.vec_id AS a, b.vec_id AS b, CAST(list_sum(list_transform(list_zip(a.s, b.s), lambda z: abs(z[1] - z[2]))) AS BIGINT) AS distance FROM b a JOIN b ON a.vec_id < b.vec_id WHERE list_sum(list_transform(list_zip(a.s, b.s), lambda z: abs(z[1] - z[2]))) <= 12""",
-    "unlabelled": "SELECT doc_id, source FROM documents ANTI JOIN labels USING (doc_id)",
-}

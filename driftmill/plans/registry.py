@@ -5,182 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from driftmill.operators import baseline, decisions, image, lineage, series, statistics
-
-from .oracles import ORACLES
+from . import imaging, modelling, monitoring, quality
 
 FLAGSHIP = "control_chart"
-
-FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-SIDE = 8
-#: Sign hashes at most so many bits apart are a near pair, as in the SQL.
-NEAR_BITS = 12
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c).cast("bigint").alias(c) if t in ("int", "bigint") else F.col(c) for c, t in df.dtypes))
-
-
-def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = F.transform("embedding", lambda x: x.cast("double"))
-    return _table(spark, sf_dir, "embeddings").select("vec_id", px.alias("px")).withColumn("px", image.rescaled(F.col("px")))
-
-
-def intensity_stats(spark, sf_dir):
-    px = F.col("px")
-    out = _images(spark, sf_dir).withColumns({"mean": image.mean(px), "std": F.sqrt(image.variance(px))})
-    cv = F.col("std") / (F.col("mean") + image.EPS)
-    return _rounded(out.select("vec_id", "mean", "std", cv.alias("rms_contrast"), (1 / (1 + cv)).alias("uniformity"), *(image.quantile(px, p / 100).alias(f"p{p}") for p in (5, 50, 95))))
-
-
-def image_entropy(spark, sf_dir):
-    return _rounded(_images(spark, sf_dir).select("vec_id", image.entropy(F.col("px")).alias("entropy")))
-
-
-def image_gradient(spark, sf_dir):
-    x, y = (image.stencil(F.col("px"), k, SIDE, SIDE) for k in (image.SOBEL_X, image.SOBEL_Y))
-    out = _images(spark, sf_dir).select("vec_id", image.magnitude(x, y).alias("g"))
-    out = out.withColumn("p90", image.quantile(F.col("g"), 0.9))
-    dense = F.size(F.filter("g", lambda v: v >= F.col("p90"))) / F.size("g")
-    return _rounded(out.select("vec_id", image.mean(F.col("g")).alias("gradient_mean"), F.sqrt(image.variance(F.col("g"))).alias("gradient_std"), F.array_max("g").alias("gradient_max"), dense.alias("dense")))
-
-
-def image_sharpness(spark, sf_dir):
-    px = F.col("px")
-    out = _images(spark, sf_dir).select("vec_id", "px", image.stencil(px, image.LAPLACE, SIDE, SIDE).alias("l"), image.stencil(px, image.GAUSS, SIDE, SIDE).alias("s"))
-    noise = F.zip_with("px", "s", lambda a, b: a - b)
-    return _rounded(out.select("vec_id", image.variance(F.col("l")).alias("sharpness"), (F.sqrt(image.variance(noise)) / (image.mean(px) + image.EPS)).alias("speckle")))
-
-
-def calibration_stats(spark, sf_dir):
-    return _rounded(statistics.calibration(_table(spark, sf_dir, "events"), "value"))
-
-
-def variability_by_feature(spark, sf_dir):
-    return _rounded(statistics.variability(_table(spark, sf_dir, "lineitem"), FEATURES), 7)
-
-
-def pooled_and_group_stats(spark, sf_dir):
-    return _rounded(statistics.pooled_and_grouped(_table(spark, sf_dir, "lineitem"), "l_returnflag", FEATURES), 7)
-
-
-def pearson_pairs(spark, sf_dir):
-    return _rounded(statistics.pearson_pairs(_table(spark, sf_dir, "lineitem"), FEATURES))
-
-
-def spearman_pairs(spark, sf_dir):
-    return _rounded(statistics.spearman_pairs(_table(spark, sf_dir, "lineitem"), FEATURES))
-
-
-def two_sample_tests(spark, sf_dir):
-    return _rounded(statistics.two_samples(_table(spark, sf_dir, "lineitem"), "l_returnflag", "A", "N", FEATURES))
-
-
-def confusion_metrics(spark, sf_dir):
-    rows = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
-    return _rounded(statistics.confusion(rows, F.col("n_chars") < 600, F.col("quality") == 0))
-
-
-def wilson_intervals(spark, sf_dir):
-    groups = _table(spark, sf_dir, "lineitem").groupBy("l_linestatus").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("hits"))
-    low, high = statistics.wilson(F.col("hits"), F.col("n"), 1.959963984540054)
-    return _rounded(groups.select("l_linestatus", "n", "hits", low.alias("low"), high.alias("high")))
-
-
-def baseline_scores(spark, sf_dir):
-    rows = _table(spark, sf_dir, "lineitem")
-    model = baseline.Baseline(rows, FEATURES)
-    d2 = model.distance()
-    # chi-squared with four degrees of freedom at .95, .99 and .999
-    out = rows.select("l_orderkey", "l_linenumber", "l_partkey", d2.alias("d2"), *(c.alias(f"share_{f}") for c, f in zip(model.contributions(), FEATURES)))
-    return _rounded(out.withColumns({"state": baseline.state(F.col("d2"), 9.487729, 13.276704, 18.466827), "quality": baseline.quality(F.col("d2"), 18.466827)}))
-
-
-def _events(spark, sf_dir) -> DataFrame:
-    return _table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", "value")
-
-
-def control_chart(spark, sf_dir):
-    events = _events(spark, sf_dir)
-    model = events.agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
-    z = events.crossJoin(F.broadcast(model)).withColumn("z", (F.col("value") - F.col("m")) / F.col("s"))  # one row
-    return _rounded(series.chart(z, "user_id", ["ts", "event_id"], F.col("z")))
-
-
-def trend_ols(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = _events(spark, sf_dir).withColumn("t", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1)
-    return _rounded(series.trend(rows, "user_id", F.col("t"), "value"))
-
-
-def rolling_forecasts(spark, sf_dir):
-    return _rounded(series.forecasts(_events(spark, sf_dir), "user_id", ["ts", "event_id"], "value", 10))
-
-
-def forecast_benchmark(spark, sf_dir):
-    made = series.forecasts(_events(spark, sf_dir), "user_id", ["ts", "event_id"], "value", 10)
-    return _rounded(series.forecast_errors(made, "user_id"))
-
-
-def conformal_radius(spark, sf_dir):
-    made = series.forecasts(_events(spark, sf_dir), "user_id", ["ts", "event_id"], "value", 10)
-    return _rounded(series.conformal_radius(made, "user_id", F.col("actual") - F.col("moving_average")))
-
-
-def fused_state(spark, sf_dir):
-    d = F.col("l_discount")
-    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", decisions.fuse_intelligence(F.col("l_quantity"), 40.0, 1000 * F.col("l_tax"), 10 * d, 1 - d, 5 * d).alias("f"), decisions.health(100 - F.col("l_quantity"), 30 * F.col("l_tax")).alias("h"), decisions.fuse_evidence(F.array(10 * d, 10 * F.col("l_tax"), F.when(d > 0.02, d))).alias("e"))
-    stat = baseline.state(40 * F.col("e.fusion"), 9.0, 13.0, 18.0)
-    final = decisions.twin_state(stat, F.col("f.state"), F.col("h.state"), F.lit("STABLE"), F.lit(False))
-    return _rounded(rows.select("l_orderkey", "l_linenumber", "l_partkey", "f.fused", "f.confidence", F.col("h.index").alias("health"), "e.disagreement", final.alias("state")), 7)
-
-
-def _turns(spark, sf_dir) -> DataFrame:
-    key = F.col("conv_id") * 1000 + F.col("turn")
-    return _table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.count("*").alias("n")).select(key.alias("id"), F.when(F.col("turn") > 0, key - 1).otherwise(key).alias("parent"))
-
-
-def lineage_roots(spark, sf_dir):
-    return lineage.roots(spark, _turns(spark, sf_dir))
-
-
-def lineage_partition(spark, sf_dir):
-    return lineage.partitioned(lineage.roots(spark, _turns(spark, sf_dir)), 100, 50)
-
-
-def exact_duplicates(spark, sf_dir):
-    return lineage.exact_duplicates(_table(spark, sf_dir, "documents"), "doc_id", F.coalesce("text", F.lit("")))
-
-
-def missing_fields(spark, sf_dir):
-    return _rounded(lineage.missingness(_table(spark, sf_dir, "documents"), ["text", "lang", "source"]))
-
-
-def near_hash_pairs(spark, sf_dir):
-    # one bit for each of the 64 numbers of a vector: above 0 or not
-    bits = F.aggregate(F.transform("embedding", lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
-    return _rounded(lineage.near_hashes(_table(spark, sf_dir, "embeddings").select("vec_id", bits.alias("bits")), "vec_id", "bits", NEAR_BITS))
-
-
-def unlabelled(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", "source").join(_table(spark, sf_dir, "labels"), "doc_id", "left_anti")
-
-
-def state_counts(spark, sf_dir):
-    return control_chart(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
+PLANS = (imaging, monitoring, modelling, quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (intensity_stats, image_entropy, image_gradient, image_sharpness, calibration_stats, variability_by_feature, pooled_and_group_stats, pearson_pairs, spearman_pairs, two_sample_tests, confusion_metrics, wilson_intervals, baseline_scores, control_chart, trend_ols, rolling_forecasts, forecast_benchmark, conformal_radius, fused_state, lineage_roots, lineage_partition, exact_duplicates, missing_fields, near_hash_pairs, unlabelled, state_counts)
-    return {f.__name__: f for f in own}
+    return {f.__name__: f for plan in PLANS for f in plan.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return {name: sql for plan in PLANS for name, sql in plan.ORACLES.items()}
