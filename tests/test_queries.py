@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftmill.operators import baseline, lineage, series, statistics
-from driftmill.plans import registry
+from driftmill.plans import quality, registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -79,14 +79,16 @@ def test_lineage_of_long_chains_and_cycles(spark):
     rows = [(k, max(k - 1, 0)) for k in range(1500)]
     assert {tuple(r) for r in lineage.roots(spark, spark.createDataFrame(rows, "id int, parent int")).collect()} == {(k, 0) for k in range(1500)}
     ring = [(9, 7), (7, 8), (8, 9), (10, 9), (11, 10), (1, None), (2, 1), (3, 99), (4, 4), (None, None), (None, 1)]
-    got = sorted(map(tuple, lineage.roots(spark, spark.createDataFrame(ring, "id int, parent int")).collect()), key=repr)
+    got = sorted(map(tuple, lineage.roots(spark, spark.createDataFrame(ring, "id int, parent int"), "smallest").collect()), key=repr)
     assert got == sorted([(9, 7), (7, 7), (8, 7), (10, 7), (11, 7), (1, 1), (2, 1), (3, 99), (4, 4), (None, None)], key=repr)
+    with pytest.raises(lineage.LineageCycle, match="through 7"):
+        lineage.roots(spark, spark.createDataFrame(ring, "id int, parent int"))
 
 
 def test_lineage_of_repeated_ids(spark):
     # as the SQL has it: a row for each path
     rows = [(1, 1), (2, 1), (2, 1), (3, 2), (4, 3), (4, 5), (5, None)]
-    got = lambda own: sorted(tuple(r) for r in lineage.roots(spark, spark.createDataFrame(own, "id int, parent int")).collect())
+    got = lambda own: sorted(tuple(r) for r in lineage.roots(spark, spark.createDataFrame(own, "id int, parent int"), "smallest").collect())
     assert got(rows) == [(1, 1), (2, 1), (2, 1), (3, 1), (3, 1), (4, 1), (4, 1), (4, 5), (5, 5)]
     # 6 and 7 are a cycle that 6 can leave
     assert got([*rows, (6, 7), (7, 6), (6, 5)]) == [(1, 1), (2, 1), (3, 1), (4, 1), (4, 5), (5, 5), (6, 5), (6, 6), (7, 5), (7, 6)]
@@ -97,28 +99,20 @@ def test_confusion_of_nothing(spark):
     assert (r.tp, r.detection_rate, r.specificity) == (0, 0.0, 1.0)
 
 
-def test_near_hash_pairs_at_the_threshold(spark, tmp_path):
-    rng = np.random.default_rng(4)
-    base = rng.choice([-1.0, 1.0], (12, 64))
-    rows = list(base)
-    for k, b in enumerate(base):
-        far = registry.NEAR_BITS + k % 4 - 2  # two and one below, at, one above
-        rows.append(b * np.where(np.isin(np.arange(64), rng.choice(64, far, replace=False)), -1, 1))
-    df = spark.createDataFrame([(k, [float(x) for x in r]) for k, r in enumerate(rows)], "vec_id long, embedding array<float>")
-    df.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
-    ours = sorted((r.a, r.b, r.distance) for r in registry.queries()["near_hash_pairs"](spark, str(tmp_path)).collect())
-    con = duckdb.connect()
-    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
-    assert ours == sorted(con.sql(f"SELECT a, b, distance FROM ({registry.oracle_sql()['near_hash_pairs']})").fetchall())
-    assert ours == [(k, 12 + k, registry.NEAR_BITS + k % 4 - 2) for k in range(12) if k % 4 < 3]
-    assert registry.oracle_sql()["near_hash_pairs"].endswith(f"<= {registry.NEAR_BITS}")
-
-
 def test_near_hashes_find_all_pairs(spark):
     rng = np.random.default_rng(3)
     base = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 30)]
-    values = base + [b ^ sum(1 << int(k) for k in rng.choice(62, 4, replace=False)) for b in base]
+    values = base + [b ^ sum(1 << int(k) for k in rng.choice(62, 2 + n % 4, replace=False)) for n, b in enumerate(base)] + base[:10]
     df = spark.createDataFrame(list(enumerate(values)), "id int, h long")
-    ours = {(r.a, r.b) for r in lineage.near_hashes(df, "id", "h").collect()}
+    members, pairs = lineage.near_hashes(df, "id", "h")
     bits = lambda x: bin(x & (2**64 - 1)).count("1")
-    assert ours == {(i, j) for i in range(60) for j in range(i + 1, 60) if bits(values[i] ^ values[j]) <= 4}
+    assert {r.id: r["class"] for r in members.collect()} == {i: values.index(v) for i, v in enumerate(values)}
+    found = [(r.a, r.b, r.distance) for r in pairs.collect()]
+    assert len(found) == len(set(found)) and set(found) == {(i, j, bits(values[i] ^ values[j])) for i in range(60) for j in range(i + 1, 60) if bits(values[i] ^ values[j]) <= 4}
+    links = {r.id: r.links for r in lineage.near_links(df, "id", "h").collect()}
+    assert links[0] == links[60] == sum(0 in p[:2] for p in found)
+
+
+def test_near_hash_links_are_there(spark):
+    assert registry.queries()["near_hash_links"](spark, SF).where("links > 0").count() > 0
+    assert f"<= {quality.NEAR_BITS}" in registry.oracle_sql()["near_hash_links"]
