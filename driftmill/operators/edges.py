@@ -73,6 +73,36 @@ def _bytes(image: np.ndarray) -> np.ndarray:
     return np.clip(image * 255, 0, 255).astype(np.uint8)
 
 
+#: What ``features`` gives, in order.
+FEATURES = ("mean_intensity", "std_intensity", "dynamic_range", "entropy", "sharpness_laplacian", "noise", "edge_density", "gradient_mean", "gradient_std", "gradient_max", "slope", "near", "far", "row_mean", "row_std")
+
+
+def features(image: np.ndarray, canny_too: bool = True) -> dict[str, float]:
+    """The numbers of an image that a signature is made of; slope is that of the logarithms of row medians over a depth of 1."""
+    p = np.pad(image, 2, mode="reflect")
+    h, w = image.shape
+    at = lambda i, j: p[2 + i : 2 + i + h, 2 + j : 2 + j + w]
+    g = np.hypot(at(-1, 1) + 2 * at(0, 1) + at(1, 1) - at(-1, -1) - 2 * at(0, -1) - at(1, -1), at(1, -1) + 2 * at(1, 0) + at(1, 1) - at(-1, -1) - 2 * at(-1, 0) - at(-1, 1))
+    lap = at(-1, 0) + at(1, 0) + at(0, -1) + at(0, 1) - 4 * image
+    taps = (1, 4, 6, 4, 1)
+    down = sum(c * p[k : k + h] for k, c in enumerate(taps)) / 16
+    smooth = sum(c * down[:, k : k + w] for k, c in enumerate(taps)) / 16
+    counts = np.bincount(np.minimum((image * 256).astype(np.int64), 255).ravel())
+    share = counts[counts > 0] / image.size
+    rows = np.median(np.clip(image, 0, 1), axis=1)
+    depth = np.arange(h) - (h - 1) / 2
+    slope = float((depth * np.log(np.maximum(rows, 1e-4))).sum() / (depth**2).sum() * (h - 1)) if h > 1 else float("nan")
+    quarter = max(1, h // 4)
+    edge = float(canny(_bytes(image), 50, 150).mean()) if canny_too else float("nan")
+    own = (image.mean(), image.std(), image.max() - image.min(), -(share * np.log2(share)).sum(), lap.var(), (image - smooth).std(), edge, g.mean(), g.std(), g.max(), slope, rows[:quarter].mean(), rows[-quarter:].mean(), rows.mean(), rows.std())
+    return dict(zip(FEATURES, map(float, own)))
+
+
+def measured(px: Column, width: int, canny_too: bool = True) -> Column:
+    """``features`` of every image as a struct: stencils and hysteresis over whole matrices, which expressions would go through pixel by pixel."""
+    return each_image(px, width, f"struct<{','.join(f'{f}:double' for f in FEATURES)}>", lambda x: features(x, canny_too))
+
+
 def canny_density(px: Column, width: int, low: float | None = 50.0, high: float | None = 150.0) -> Column:
     """Share of edge pixels of an image in [0, 1]; thresholds from its median where low is None."""
 

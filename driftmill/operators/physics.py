@@ -70,29 +70,30 @@ def slope(values: Column, length: Column) -> Column:
     return image.bound(values, of)
 
 
-def record(px: Column, params: Column, height: int, width: int) -> Column:
-    """The whole acoustic record of an image as one struct."""
+def acoustics(params: Column, slope: Column, near: Column, far: Column, row_mean: Column, row_std: Column) -> dict[str, Column]:
+    """The acoustic quantities from the row medians' slope over a depth of 1, the means of their first and last quarters, and their mean and deviation."""
     own = parameters(params)
+    s = slope / F.nullif(F.coalesce(own["depth_mm"], F.lit(1.0)), F.lit(0.0))
+    scale = F.when(F.coalesce(own["depth_mm"], F.lit(0.0)) != 0, 10 / math.log(10)).otherwise(1.0)
+    return own | {
+        "axial_intensity_slope": s,
+        "attenuation_proxy_db_cm_mhz": F.abs(s) * scale / F.greatest(own["frequency_mhz"], F.lit(1e-9)),
+        "near_field_energy_ratio": clipped(near / (near + far + EPS)),
+        "depth_uniformity": clipped(1 / (1 + row_std / (row_mean + EPS))),
+    }
+
+
+def record(px: Column, params: Column, height: int, width: int) -> Column:
+    """The whole acoustic record of an image as one struct, by expressions alone."""
     quarter = max(1, height // 4)
 
-    def features(e: Column) -> Column:
-        rows, s = e["rows"], e["slope"]
+    def features(rows: Column) -> Column:
         near, far = (image.mean(F.slice(rows, start, quarter)) for start in (1, height - quarter + 1))
-        spread = F.sqrt(image.variance(rows)) / (image.mean(rows) + EPS)
-        scale = F.when(F.coalesce(e["depth"], F.lit(0.0)) != 0, 10 / math.log(10)).otherwise(1.0)
-        out = own | {
-            "axial_intensity_slope": s,
-            "attenuation_proxy_db_cm_mhz": F.abs(s) * scale / F.greatest(e["frequency"], F.lit(1e-9)),
-            "near_field_energy_ratio": clipped(near / (near + far + EPS)),
-            "depth_uniformity": clipped(1 / (1 + spread)),
-        }
-        return F.struct(*(c.alias(k) for k, c in out.items()))
-
-    def shared(rows: Column) -> Column:
-        logs = F.transform(rows, lambda m: F.log(F.greatest(m, F.lit(EPS))))
-        return F.struct(rows.alias("rows"), slope(logs, F.coalesce(own["depth_mm"], F.lit(1.0))).alias("slope"), own["depth_mm"].alias("depth"), own["frequency_mhz"].alias("frequency"))
-
-    return image.bound(image.bound(row_medians(F.transform(px, clipped), height, width), shared), features)
+        s = slope(F.transform(rows, lambda m: F.log(F.greatest(m, F.lit(EPS)))), F.lit(1.0))
+        e = F.struct(s.alias("s"), near.alias("near"), far.alias("far"), image.mean(rows).alias("m"), F.sqrt(image.variance(rows)).alias("sd"))
+        return image.bound(e, lambda x: F.struct(*(c.alias(k) for k, c in acoustics(params, x["s"], x["near"], x["far"], x["m"], x["sd"]).items())))
+
+    return image.bound(row_medians(F.transform(px, clipped), height, width), features)
 
 
 def perturbed(params: Column, name: str, factor: float) -> Column:

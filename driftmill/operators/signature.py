@@ -35,9 +35,14 @@ def completed(df: DataFrame, keys: list[str]) -> DataFrame:
 def signatures(images: DataFrame, keys: list[str], height: int, width: int, px: str = "px", params: str | None = None, canny: bool = True) -> DataFrame:
     """Every image's signature. Pixels lie in [0, 1]; params is a map of strings. Without canny, edge_density is null."""
     held = F.col(params) if params else F.create_map().cast("map<string,string>")
-    edge = edges.canny_density(F.col(px), width) if canny else F.lit(None).cast("double")
-    own = images.select(*keys, image.record(F.col(px), height, width).alias("__i"), physics.record(F.col(px), held, height, width).alias("__p"), edge.alias("edge_density"))
-    return completed(own.select(*keys, "__i.*", "__p.*", "edge_density"), keys)
+    own = images.select(*keys, held.alias("__params"), edges.measured(F.col(px), width, canny).alias("__f"))
+    f = {k: F.col(f"__f.{k}") for k in edges.FEATURES}
+    cv = f["std_intensity"] / (f["mean_intensity"] + image.EPS)
+    out = {k: f[k] for k in edges.FEATURES if k in FEATURES}
+    out |= {"coefficient_variation": cv, "rms_contrast": cv, "uniformity": 1 / (1 + cv), "speckle_proxy": f["noise"] / (f["mean_intensity"] + image.EPS)}
+    out["edge_density"] = F.nanvl(f["edge_density"], F.lit(None).cast("double"))
+    out |= physics.acoustics(F.col("__params"), f["slope"], f["near"], f["far"], f["row_mean"], f["row_std"])
+    return completed(own.select(*keys, *(out[k].alias(k) for k in FEATURES)), keys)
 
 
 def vector(features: Iterable[str] = FEATURES) -> Column:

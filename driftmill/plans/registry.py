@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import imaging, modelling, monitoring, quality
+from . import analysis, imaging, modelling, monitoring, quality
 
 FLAGSHIP = "control_chart"
-PLANS = (imaging, monitoring, modelling, quality)
+PLANS = (imaging, monitoring, modelling, quality, analysis)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -121,6 +121,14 @@ def test_physics_and_signature(spark, shown, pictures):
         assert (r.wavelength_mm, r.axial_resolution_mm) == pytest.approx((1540 / 7.5e6 * 1e3, 1540 * 0.4e-3 / 2))
         assert r.prf_depth_margin == pytest.approx(1540 / 0.12 / 5000) and r.metadata_complete == 1
     assert list(rows[0].asDict())[2:] == signature.FEATURES and len(signature.FEATURES) == 23
+    # the expressions give what the matrices give
+    by_expression = {r.id: r for r in image.measured(shown, "px", 20, 20).collect()}
+    shared = [f for f in signature.FEATURES if f in by_expression[0]]
+    assert len(shared) == 12
+    for k in rows:
+        assert [rows[k][f] for f in shared] == pytest.approx([by_expression[k][f] for f in shared], abs=1e-9)
+    own = shown.withColumn("params", params).select("id", physics.record(F.col("px"), F.col("params"), 20, 20).alias("p"))
+    assert {r.id: r.p.depth_uniformity for r in own.collect()} == pytest.approx({k: r.depth_uniformity for k, r in rows.items()})
     assert len(spark.createDataFrame([rows[0]]).select(signature.vector()).first()[0]) == 23
     with pytest.raises(ValueError):
         signature.vector(["nothing"])
