@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -31,39 +31,58 @@ STRETCH = 200
 KINDS = {"noise": ("symbols", "word_length"), "tables": ("symbols", "bare"), "repetition": ("variety", "lines"), "shouting": ("shouting", "sentences")}
 
 
-def _share(part: Column, whole: Column) -> Column:
-    return part / F.greatest(whole, F.lit(1))
+#: The labellers, in the order of their votes.
+LABELLERS = ("symbols", "bare", "length", "word_length", "variety", "lines", "sentences", "shouting", "digits")
 
 
-def labellers(text: Column) -> dict[str, Column]:
-    """Votes on a text: 1 good, 0 bad, -1 nothing."""
-    n = F.length(text)
-    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x)) > 0)
-    count = lambda pattern: n - F.length(F.regexp_replace(text, pattern, ""))
+SYMBOLS, BARE = b"#*$%&|<>", b"#*$%&|<>~=_+-"
+UPPER, DIGITS, ENDS, TAIL_BYTES = bytes(range(65, 91)), b"0123456789", b".!?", bytes(range(128, 192))
 
-    def vote(bad: Column, good: Column) -> Column:
-        return F.when(bad, 0).when(good, 1).otherwise(-1).cast("int")
 
-    symbols, n_words = _share(count(r"[#*$%&|<>]+"), F.size(words)), F.size(words)
-    bare = _share(F.regexp_count(text, F.lit(r"(?:^|[\x20\x09-\x0D])[#*$%&|<>~=_+-]+(?=[\x20\x09-\x0D]|$)")), n_words)
-    mean = _share(F.length(F.array_join(words, "")), n_words)
-    starts = F.sequence(F.lit(1), F.greatest(n_words, F.lit(1)), F.lit(STRETCH))
-    distinct = _share(F.aggregate(starts, F.lit(0), lambda a, k: a + F.size(F.array_distinct(F.slice(words, k, STRETCH)))), n_words)
-    again = 1 - _share(F.size(F.array_distinct(lines)), F.size(lines))
-    ends = _share(count(r"[.!?]+"), n_words)
-    upper, digits = _share(count(r"[A-Z]+"), n), _share(count(r"[0-9]+"), n)
-    return {
+def votes(values: pa.Array) -> np.ndarray:
+    """Votes on UTF-8 texts, a row a text and a column a labeller: 1 good, 0 bad, -1 nothing. Lengths are code points."""
+    word, distinct, n = codes(values)
+    rows = len(n)
+    texts = values.to_pylist()
+    length = lambda b: len(b.translate(None, TAIL_BYTES))
+    without = lambda b, some: len(b) - len(b.translate(None, some))
+    chars, symbols, ends, upper, digits, again = (np.zeros(rows) for _ in range(6))
+    for i, t in enumerate(texts):
+        if t:
+            lines = [x for x in t.split(b"\n") if x.strip(b" ")]
+            chars[i], symbols[i], ends[i], upper[i], digits[i] = length(t), without(t, SYMBOLS), without(t, ENDS), without(t, UPPER), without(t, DIGITS)
+            again[i] = 1 - len(set(lines)) / max(len(lines), 1)
+        else:
+            again[i] = 1.0
+    doc = np.repeat(np.arange(rows), n)
+    sizes = np.array([length(w) for w in distinct] or [0])
+    empty = np.array([not w.translate(None, BARE) for w in distinct] or [False])
+    some = np.maximum(n, 1)
+    mean = np.bincount(doc, sizes[word], minlength=rows) / some
+    bare = np.bincount(doc, empty[word], minlength=rows) / some
+    # distinct words of each stretch
+    stretches = -(-n // STRETCH)
+    place = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
+    stretch = np.repeat(np.cumsum(stretches) - stretches, n) + place // STRETCH
+    first = np.unique(stretch * max(len(distinct), 1) + word) // max(len(distinct), 1)
+    variety = np.bincount(np.repeat(np.arange(rows), stretches)[first], minlength=rows) / some
+    symbols, ends, upper, digits = symbols / some, ends / some, upper / np.maximum(chars, 1), digits / np.maximum(chars, 1)
+
+    def vote(bad: np.ndarray, good: np.ndarray | bool) -> np.ndarray:
+        return np.where(bad, 0, np.where(good, 1, -1))
+
+    own = {
         "symbols": vote(symbols > 0.1, symbols < 0.01),
         "bare": vote(bare > 0.1, bare < 0.02),
-        "length": vote(n_words < 20, n_words >= 50),
-        "word_length": vote((mean < 3.5) | (mean > 7.0), mean.between(4.3, 6.0)),
-        "variety": vote(distinct < 0.4, distinct > 0.55),
+        "length": vote(n < 20, n >= 50),
+        "word_length": vote((mean < 3.5) | (mean > 7.0), (mean >= 4.3) & (mean <= 6.0)),
+        "variety": vote(variety < 0.4, variety > 0.55),
         "lines": vote(again > 0.4, again < 0.05),
-        "sentences": vote((ends > 0.4) | (ends < 0.004) & (n_words >= 50), ends.between(0.02, 0.25)),
+        "sentences": vote((ends > 0.4) | (ends < 0.004) & (n >= 50), (ends >= 0.02) & (ends <= 0.25)),
         "shouting": vote(upper > 0.2, upper < 0.05),
-        "digits": vote(digits > 0.25, F.lit(False)),
+        "digits": vote(digits > 0.25, False),
     }
+    return np.stack([own[k] for k in LABELLERS], 1)
 
 
 class VoteModel:
@@ -184,10 +203,17 @@ def classify(docs: DataFrame, threshold: float = 0.5, train_rows: int = TRAIN_RO
     spark = docs.sparkSession
     prepare(spark)
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    names = list(labellers(F.col("text")))
+    names = list(LABELLERS)
+    def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = votes(b.column("text"))
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(own[:, k], pa.int32()) for k in range(len(names)))], names=[*b.schema.names, *names])
+
     # the texts are kept with their votes, so that no text is judged twice
-    votes, _ = written(source.select("doc_id", "text", F.xxhash64("text").alias("h"), *(v.alias(k) for k, v in labellers(F.col("text")).items())), "votes")
-    patterns = votes.groupBy(*names).agg(F.count("*").alias("n")).collect()  # 3 ** 9 rows at most
+    read = source.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("h"))
+    kind = read.schema["doc_id"].dataType.simpleString()
+    held, _ = written(read.mapInArrow(voted, f"doc_id {kind}, text binary, h bigint, " + ", ".join(f"{k} int" for k in names)), "votes")
+    patterns = held.groupBy(*names).agg(F.count("*").alias("n")).collect()  # 3 ** 9 rows at most
     table = np.array([[r[k] for k in names] for r in patterns], np.int64).reshape(-1, len(names))
     model = VoteModel(table, np.array([r.n for r in patterns], np.float64), names)
     chance = {tuple(t): float(p) for t, p in zip(table.tolist(), model.posterior(table) if len(table) else [])}
@@ -197,8 +223,8 @@ def classify(docs: DataFrame, threshold: float = 0.5, train_rows: int = TRAIN_RO
     share = 4 * train_rows / max(n, 1)
     while n:
         top = (1 << 63) - 1 if share >= 1 else -(1 << 63) + int(share * 2**64)
-        edge, held = votes.where(F.col("h") <= F.lit(top)).select("h").distinct().orderBy("h").limit(train_rows).agg(F.max("h"), F.count("*")).first()
-        if held >= train_rows or share >= 1:
+        edge, there = held.where(F.col("h") <= F.lit(top)).select("h").distinct().orderBy("h").limit(train_rows).agg(F.max("h"), F.count("*")).first()
+        if there >= train_rows or share >= 1:
             break
         share *= 8  # many repeated texts
 
@@ -209,8 +235,8 @@ def classify(docs: DataFrame, threshold: float = 0.5, train_rows: int = TRAIN_RO
             at, x = ([v.astype(kind).tobytes() for v in np.split(every, cuts)] for every, kind in ((at, "<i4"), (x, "<f4")))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("h", *names)), pa.array(n, pa.int64()), pa.array(at, pa.binary()), pa.array(x, pa.binary())], names=["h", *names, "n", "at", "x"])
 
-    few = (votes.where(F.col("h") <= F.lit(edge)) if edge is not None else votes.limit(0)).dropDuplicates(["text"])
-    shown = few.select("h", *names, F.col("text").cast("binary").alias("bytes"))
+    few = (held.where(F.col("h") <= F.lit(edge)) if edge is not None else held.limit(0)).dropDuplicates(["text"])
+    shown = few.select("h", *names, F.col("text").alias("bytes"))
     shown, shown_at = written(shown.mapInArrow(sparse, "h bigint, " + ", ".join(f"{k} int" for k in names) + ", n bigint, at binary, x binary"), "shown")
     total, last = 0, None
     for h, n in sorted((r["h"], r["n"]) for r in shown.select("h", "n").collect()):  # two numbers a training text
@@ -235,5 +261,5 @@ def classify(docs: DataFrame, threshold: float = 0.5, train_rows: int = TRAIN_RO
     model_prior = float(model.prior[0])
     score.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
     udf = arrow_udf(score, "struct<posterior:double,score:double>")
-    scored = votes.select("doc_id", udf(F.col("text").cast("binary"), *names).alias("s"))
+    scored = held.select("doc_id", udf("text", *names).alias("s"))
     return scored.select("doc_id", "s.posterior", "s.score", (F.col("s.score") >= threshold).alias("kept"))

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -309,13 +310,32 @@ def test_vote_model_finds_the_accuracies():
     assert len(empty.posterior(np.zeros((0, 9), int))) == 0
 
 
-def test_variety_does_not_depend_on_length(spark):
+def test_variety_does_not_depend_on_length():
     rng = random.Random(3)
     words = [f"w{k}" for k in range(400)]
-    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
-    rows = [(n, text(n)) for n in (250, 2900, 3100, 30000)] + [(9, "same " * 5000), (10, "")]
-    got = {r.n: r.v for r in spark.createDataFrame(rows, "n int, t string").select("n", classifier.labellers(F.col("t"))["variety"].alias("v")).collect()}
-    assert got[250] == got[2900] == got[3100] == got[30000] == 1 and got[9] == got[10] == 0 or got[10] in (0, -1)
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (250, 2900, 3100, 30000)] + ["same " * 5000]
+    got = classifier.votes(pa.array([t.encode() for t in texts]))[:, classifier.LABELLERS.index("variety")]
+    assert got.tolist() == [1, 1, 1, 1, 0]
+
+
+def plain_votes(t):
+    """Votes by plain Python."""
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
+    n, some = len(w), max(len(w), 1)
+    lines = [x for x in t.split("\n") if x.strip(" ")]
+    again = 1 - len(set(lines)) / max(len(lines), 1)
+    share = lambda chars, of: sum(c in chars for c in t) / max(of, 1)
+    symbols, ends = share("#*$%&|<>", n), share(".!?", n)
+    upper, digits = share("ABCDEFGHIJKLMNOPQRSTUVWXYZ", len(t)), share("0123456789", len(t))
+    mean, bare = sum(map(len, w)) / some, sum(all(c in "#*$%&|<>~=_+-" for c in x) for x in w) / some
+    variety = sum(len(set(w[k : k + 200])) for k in range(0, n, 200)) / some
+    vote = lambda bad, good: 0 if bad else 1 if good else -1
+    return [vote(symbols > 0.1, symbols < 0.01), vote(bare > 0.1, bare < 0.02), vote(n < 20, n >= 50), vote(mean < 3.5 or mean > 7, 4.3 <= mean <= 6), vote(variety < 0.4, variety > 0.55), vote(again > 0.4, again < 0.05), vote(ends > 0.4 or ends < 0.004 and n >= 50, 0.02 <= ends <= 0.25), vote(upper > 0.2, upper < 0.05), vote(digits > 0.25, False)]
+
+
+def test_votes_against_plain_python(texts):
+    every = [*texts.values(), "", " \n\t ", "| | |", "É" * 40 + " é"]
+    assert classifier.votes(pa.array([t.encode() for t in every])).tolist() == [plain_votes(t) for t in every]
 
 
 # token files
