@@ -138,22 +138,40 @@ def share_above(values: Column, least: Column, strict: bool) -> Column:
     return F.size(F.filter(values, lambda v: v > least if strict else v >= least)) / F.size(values)
 
 
+def _levels(e: Column) -> dict[str, Column]:
+    """From sorted pixels r, their mean m and deviation sd."""
+    r, m, sd = e["r"], e["m"], e["sd"]
+    low, high, cv = F.get(r, F.lit(0)), F.element_at(r, -1), sd / (m + EPS)
+    out = {"min_intensity": low, "max_intensity": high, "mean_intensity": m, "std_intensity": sd, "median_intensity": ranked_quantile(r, 0.5), "dynamic_range": high - low}
+    out |= {f"p{p}": ranked_quantile(r, p / 100) for p in (1, 5, 25, 50, 75, 95, 99)}
+    return out | {"coefficient_variation": cv, "contrast_std": sd, "rms_contrast": cv, "uniformity": 1 / (1 + cv)}
+
+
+def _struct(columns: dict[str, Column]) -> Column:
+    return F.struct(*(c.alias(k) for k, c in columns.items()))
+
+
+def _sorted(own: Column) -> dict[str, Column]:
+    return {"r": F.array_sort(own), "m": mean(own), "sd": F.sqrt(variance(own))}
+
+
+def intensity(px: Column) -> Column:
+    """What an image's levels alone give, as one struct."""
+    return bound(bound(px, lambda own: _struct(_sorted(own))), lambda e: _struct(_levels(e)))
+
+
 def record(px: Column, height: int, width: int) -> Column:
     """All of an image's own features but Canny edges (``edges.canny_density``) as one struct; what several need is made once."""
 
     def shared(own: Column) -> Column:
         noise = F.zip_with(own, stencil(own, GAUSS, height, width), lambda a, b: a - b)
-        return F.struct(F.array_sort(own).alias("r"), mean(own).alias("m"), F.sqrt(variance(own)).alias("sd"), sobel(own, height, width).alias("g"), F.sqrt(variance(noise)).alias("noise"), variance(stencil(own, LAPLACE, height, width)).alias("lap"), entropy(own).alias("entropy"))
+        return _struct(_sorted(own) | {"g": sobel(own, height, width), "noise": F.sqrt(variance(noise)), "lap": variance(stencil(own, LAPLACE, height, width)), "entropy": entropy(own)})
 
     def features(e: Column) -> Column:
-        r, m, sd, g = e["r"], e["m"], e["sd"], e["g"]
-        low, high, cv = F.get(r, F.lit(0)), F.element_at(r, -1), sd / (m + EPS)
-        out = {"height": F.lit(height), "width": F.lit(width), "min_intensity": low, "max_intensity": high, "mean_intensity": m, "std_intensity": sd, "median_intensity": ranked_quantile(r, 0.5), "dynamic_range": high - low}
-        out |= {f"p{p}": ranked_quantile(r, p / 100) for p in (1, 5, 25, 50, 75, 95, 99)}
-        out |= {"coefficient_variation": cv, "contrast_std": sd, "rms_contrast": cv, "uniformity": 1 / (1 + cv), "entropy": e["entropy"]}
+        g = e["g"]
+        out = {"height": F.lit(height), "width": F.lit(width)} | _levels(e) | {"entropy": e["entropy"]}
         out |= {"gradient_mean": mean(g), "gradient_std": F.sqrt(variance(g)), "gradient_max": F.array_max(g)}
-        out |= {"sharpness_laplacian": e["lap"], "speckle_proxy": e["noise"] / (m + EPS)}
-        return F.struct(*(c.alias(k) for k, c in out.items()))
+        return _struct(out | {"sharpness_laplacian": e["lap"], "speckle_proxy": e["noise"] / (e["m"] + EPS)})
 
     return bound(bound(px, shared), features)
 

@@ -117,6 +117,7 @@ def near_hashes(df: DataFrame, key: str, bits: str, most: int = 4) -> tuple[Data
     if not 0 <= most <= 15:
         raise ValueError("bands of four bits at least")
     width = -(-64 // (most + 1))
+    df, _ = tables.written(df.select(key, bits), "hashes")  # hashes are read several times
     first = df.groupBy(bits).agg(F.min(key).alias("class"))
     members = df.join(first, bits).select(key, "class")
     part = lambda h, b: F.shiftrightunsigned(h, b * width).bitwiseAND(F.lit((1 << width) - 1))

@@ -12,8 +12,6 @@ from .oracles import F4, LONG, PAIRS, ROOTS
 
 #: Sign hashes at most so many bits apart are a near pair, as in the SQL.
 NEAR_BITS = 4
-#: Pairs of letters whose counts' parities are the bits of a text's hash.
-LETTERS = [a + b for a in "etaoinsr" for b in "etaoinsr"]
 
 
 def calibration_stats(spark, sf_dir):
@@ -141,12 +139,10 @@ def source_counts(spark, sf_dir):
 
 
 def text_bits(text):
-    """64 bits of a text: whether a pair of letters occurs an odd number of times."""
-    odd = lambda x: ((F.length(text) - F.length(F.replace(text, F.lit(x), F.lit("")))) / 2).cast("bigint") % 2
-    out = F.lit(0).cast("bigint")
-    for k, x in enumerate(LETTERS):
-        out = out.bitwiseOR(F.shiftleft(odd(x), k))
-    return out
+    """63 bits of a text: whether an odd number of its words, parted by blanks, fall into each of 63 kinds by first letter and length."""
+    kind = lambda w: (F.ascii(w) * 7 + F.length(w) * 13) % 63
+    words = F.filter(F.split(text, " "), lambda w: w != "")
+    return F.aggregate(words, F.lit(0).cast("bigint"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), kind(w))))
 
 
 def near_hash_links(spark, sf_dir):
@@ -261,8 +257,9 @@ ORACLES = {
     "audit_checks": "SELECT * FROM (VALUES ('acquisition_contract', true), ('unique_acquisition_ids', true), ('simulation_lineage', true)) v(\"check\", passed)",
     "exact_duplicates": "SELECT sha256(coalesce(text, '')) AS sha256, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1",
     "source_counts": "SELECT source, count(*) AS files, count(*) - count(DISTINCT coalesce(text, '')) AS duplicates, count(DISTINCT coalesce(text, '')) AS contents FROM documents GROUP BY source",
-    "near_hash_links": "WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), h AS (SELECT doc_id, concat(" + ", ".join(f"CAST(((length(t) - length(replace(t, '{x}', ''))) // 2) % 2 AS VARCHAR)" for x in LETTERS) + ")::BIT AS b FROM t), c AS (SELECT b, min(doc_id) AS class FROM h GROUP BY b),"
-    + f" l AS (SELECT x.class, count(*) AS links FROM c x JOIN c y ON x.class <> y.class AND bit_count(xor(x.b, y.b)) <= {NEAR_BITS} GROUP BY x.class) SELECT doc_id, c.class, coalesce(links, 0) AS links FROM h JOIN c USING (b) LEFT JOIN l ON l.class = c.class",
+    "near_hash_links": f"""WITH w AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), ' ')) AS w FROM documents), x AS (SELECT doc_id, bit_xor(1::BIGINT << ((ascii(w) * 7 + length(w) * 13) % 63)) AS b FROM w WHERE w <> '' GROUP BY doc_id),
+      h AS (SELECT documents.doc_id, coalesce(b, 0) AS b FROM documents LEFT JOIN x ON x.doc_id = documents.doc_id), c AS (SELECT b, min(doc_id) AS class FROM h GROUP BY b),
+      l AS (SELECT x.class, count(*) AS links FROM c x JOIN c y ON x.class <> y.class AND bit_count(xor(x.b, y.b)) <= {NEAR_BITS} GROUP BY x.class) SELECT doc_id, c.class, coalesce(links, 0) AS links FROM h JOIN c USING (b) LEFT JOIN l ON l.class = c.class""",
     "missing_fields": " UNION ALL ".join(f"SELECT count(*) AS rows, '{c}' AS field, count(*) FILTER ({c} IS NULL OR trim({c}) = '') AS missing FROM documents" for c in ("text", "lang", "source")),
     "repeated_texts": "SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL AND trim(source) <> '' GROUP BY source HAVING count(*) > 1",
     "unlabelled": "SELECT doc_id, source FROM documents ANTI JOIN labels USING (doc_id)",
