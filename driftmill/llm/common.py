@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows and bytes in one Arrow batch at most, so that a batch of very long texts still fits a Python worker.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
+#: Rows of a table for each file that an intermediate table made from it is written in, beside two files a core.
+FILE_ROWS = 20_000
+
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -50,10 +53,15 @@ def fresh(spark: SparkSession, label: str) -> str:
     return path
 
 
-def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """df as a Parquet table at a fresh path, and this path."""
+def files(spark: SparkSession, rows: int) -> int:
+    """In how many files tables of about so many rows are written: each file takes two processes on an executor, and a task."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS))
+
+
+def written(df: DataFrame, label: str, most: int | None = None) -> tuple[DataFrame, str]:
+    """df as a Parquet table at a fresh path, in most files at most, if given; and this path."""
     path = fresh(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    (df.coalesce(most) if most else df).write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

@@ -213,7 +213,8 @@ def _searched(index: DataFrame, vocab: dict[bytes, int], block: list[tuple[str,
     spark = index.sparkSession
     seen = np.zeros(len(vocab), np.int64)
     if counts and vocab:
-        wanted = F.broadcast(spark.createDataFrame([(bytearray(w),) for w in vocab], "term binary"))  # BLOCK_WORDS rows at most
+        # BLOCK_WORDS rows at most; from Arrow, as rows would start Python workers of another kind on the executors
+        wanted = F.broadcast(spark.createDataFrame(pa.table({"term": pa.array(list(vocab), pa.binary())})))
         each = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).select(F.col("t.terms").alias("term"), F.col("t.counts").cast("long").alias("n"))
         for row in each.join(wanted, "term").groupBy("term").agg(F.sum("n").alias("n")).collect():
             seen[vocab[bytes(row.term)]] = row.n

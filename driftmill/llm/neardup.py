@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, codes, discard, hashes, mixed, prepare, written
+from .common import LOWER, codes, discard, files, hashes, mixed, prepare, written
+from .tokens import forget
 
 #: Values in a sketch, and common values that a pair of similarity 0.8 has at least.
 K, LEAST = 64, 33
@@ -94,6 +95,7 @@ def _maps(sets: list[np.ndarray]) -> list[pa.Array]:
 
 def _signatures(size: int):
     def run(batches):
+        forget()
         for b in batches:
             sets = shingles(b.column(1), size)
             yield pa.RecordBatch.from_arrays(
@@ -106,6 +108,7 @@ def _signatures(size: int):
 
 def _sets(size: int):
     def run(batches):
+        forget()
         seen: set[int] = set()
         for b in batches:
             sets = shingles(b.column("text"), size)
@@ -160,6 +163,7 @@ def _compared(percent: int):
         return i[first], j[first]
 
     def run(batches):
+        forget()
         # rows of one key follow each other, so that a member comes out once
         at, found = None, []
 
@@ -258,6 +262,7 @@ def _verified(percent: int):
     """One tile's groups of sets: the links that join components."""
 
     def run(tile: pa.Table) -> pa.Table:
+        forget()
         order = np.lexsort([tile.column(c).to_numpy() for c in ("node", "group")])
         group, node = (tile.column(c).to_numpy()[order] for c in ("group", "node"))
         # rows with repeated ids bring a set more than once
@@ -277,6 +282,7 @@ def _verified(percent: int):
 
 def _contracted(batches):
     """All edges of a partition as links of every node with the smallest one that they join it with."""
+    forget()
     own = [b for b in batches if b.num_rows]
     if own:
         a, b = (np.concatenate([x.column(c).to_numpy() for x in own]) for c in "ab")
@@ -344,8 +350,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     kind = source.schema["doc_id"].dataType.simpleString()
     maps = ", ".join(f"{c} bigint" for c in MAP)
     rows, rows_at = written(source.mapInArrow(_signatures(size), f"doc_id {kind}, n_shingles bigint, cls binary, sketch array<bigint>, {maps}"), "signatures")
+    most = files(spark, rows.count())
     least = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch"), *(F.min(c).alias(c) for c in MAP))
-    classes, classes_at = written(least.withColumn("node", F.monotonically_increasing_id()), "classes")
+    classes, classes_at = written(least.withColumn("node", F.monotonically_increasing_id()), "classes", most)
 
     # each class's rarest retained values, without those that no other class retains
     posted = classes.where("rep is not null").select("node", F.explode("sketch").alias("v"))
@@ -359,12 +366,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     # values of df 1 come first in the order by rarity
     alone = F.least(F.col("n"), F.lit(K)) - F.size("common")
     own = own.withColumn("first", F.slice("common.v", 1, F.greatest(prefix - alone, F.lit(0)).cast("int"))).where(F.size("first") > 0)
-    listed, listed_at = written(own.select("node", "n", "first", *MAP), "listed")
+    listed, listed_at = written(own.select("node", "n", "first", *MAP), "listed", most)
     lists = listed.select("node", "n", F.explode("first").alias("v"))
     sizes_of = [F.count("*").alias("members"), F.sum("n").alias("weight")]
     def verified(members: DataFrame) -> tuple[DataFrame, str]:
         """Links among members (key, node, n, comp, side): a key's two sides meet in one task."""
-        members, all_at = written(members.groupBy("key", "node", "n", "comp").agg(F.bit_or("side").alias("side")), "members")
+        members, all_at = written(members.groupBy("key", "node", "n", "comp").agg(F.bit_or("side").alias("side")), "members", most)
         rows, weight = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
         tiles = max(1, rows // TILE, weight // WEIGHT)
         nodes = members.select("node").distinct().join(classes.select("node", "cls", "rep"), "node").select(F.col("rep").alias("doc_id"), "cls", "node")
@@ -385,19 +392,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     for k in range(LEADERS):
         lists = placed.select("node", "n", "comp", F.explode("first").alias("v"))
         leaders = lists.groupBy("v").agg(F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit(k))).alias("leader"), *sizes_of).where("members > 1")
-        leaders, leaders_at = written(leaders, "leaders")
+        leaders, leaders_at = written(leaders, "leaders", most)
         stars = lists.join(leaders, "v").where((F.col("comp") != F.col("leader.comp")) & sizes(F.col("n"), F.col("leader.n")))
         stars = stars.groupBy(F.col("node").alias("x"), F.col("leader.node").alias("y")).agg(F.max("members").alias("members"), F.max("weight").alias("weight"))
         for end in "xy":
             stars = stars.join(placed.select("node", "n", "comp", *MAP).toDF(end, f"{end}n", f"{end}comp", *(f"{end}{c}" for c in MAP)), end)
         stars = stars.where(near).select("x", "xn", "xcomp", "y", "yn", "ycomp", F.xxhash64("y", chunks, F.pmod(F.xxhash64("x"), chunks)).alias("key"))
-        stars, stars_at = written(stars, "stars")
+        stars, stars_at = written(stars, "stars", most)
         one = lambda c, side: stars.select("key", F.col(c).alias("node"), F.col(f"{c}n").alias("n"), F.col(f"{c}comp").alias("comp"), F.lit(side).cast("bigint").alias("side"))  # noqa: B023, E731
         found, found_at = verified(one("x", 1).unionByName(one("y", 2).distinct()))
         links = found if links is None else links.unionByName(found)
         kept_at.append(found_at)
-        joined, joined_at = written(components(links), "joined")
-        new, new_at = written(listed.join(joined, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"), "first", *MAP), "placed")
+        joined, joined_at = written(components(links), "joined", most)
+        new, new_at = written(listed.join(joined, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"), "first", *MAP), "placed", most)
         discard(spark, stars_at, joined_at, *([placed_at] if placed_at else []))
         placed, placed_at = new, new_at
         if k < LEADERS - 1:
@@ -410,13 +417,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     for across in (False, True) if several else (False,):
         # in each list, who is not yet joined with the last leader against all who are in other components
         if across:
-            joined, joined_at = written(components(links), "joined")
-            new, new_at = written(listed.join(joined, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"), "first", *MAP), "placed")
+            joined, joined_at = written(components(links), "joined", most)
+            new, new_at = written(listed.join(joined, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"), "first", *MAP), "placed", most)
             discard(spark, joined_at, placed_at)
             placed, placed_at = new, new_at
         heads = leaders.where("parts > 1" if across else "true").select("v", "members", "parts", F.col("leader.node").alias("node")).join(placed.select("node", F.col("comp").alias("head")), "node").drop("node")
         outside = placed.select("node", "comp", F.explode("first").alias("v")).join(heads, "v").where("comp <> head").select("v", "node", "members", "parts", "head")
-        outside, outside_at = written(outside, "outside")
+        outside, outside_at = written(outside, "outside", most)
         inside = outside.groupBy("v").agg(F.max("members").alias("members"), F.max("parts").alias("parts"), F.max("head").alias("head"))
         both = placed.select("node", F.explode("first").alias("v")).join(inside, "v")
         part = F.pmod("block", "parts")
@@ -438,7 +445,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
     ends = classes.select("cls", "rep", "node").join(final, F.col("node") == F.col("__node"), "left").withColumn("comp", F.coalesce("comp", "node"))
     lowest = ends.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    by_class, _ = written(ends.join(lowest, "comp").select("cls", "component_id"), "components")
+    by_class, _ = written(ends.join(lowest, "comp").select("cls", "component_id"), "components", most)
     discard(spark, classes_at, listed_at, leaders_at, placed_at, *kept_at)
     out = rows.select("doc_id", "n_shingles", "cls").join(by_class, "cls", "left").withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, files, written
 
 #: Share of a group in the subset of least determinant, and of a normal distribution in the reweighted step.
 SHARE, REWEIGHTED = 0.6, 0.975
@@ -34,6 +34,8 @@ TAIL = 1e-3
 SPREAD = (0.06, 0.08, 0.12, 0.12)
 UNIT = 250
 BINS = 48
+#: Groups whose estimates are written in one file: each has some hundred bins for every start.
+FILE_GROUPS = 500
 
 WORD = r"[\x20\x09-\x0D]+"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -168,20 +170,20 @@ def _step(cells: DataFrame, model: DataFrame, held) -> DataFrame:
     return _moments(inner.groupBy(*GROUP, "start").agg(*both), SHARE)
 
 
-def estimates(cells: DataFrame, held=lambda df: df) -> tuple[DataFrame, str]:
+def estimates(cells: DataFrame, held=lambda df: df, most: int | None = None) -> tuple[DataFrame, str]:
     """Of counted vectors (GROUP, X, count): each group's rows, means and covariances of least determinant, reweighted.
 
-    held marks small tables for a broadcast. The path of the written table comes with it.
+    held marks small tables for a broadcast; each step's table has most files at most, if given. The path of the written table comes with it.
     """
     spark = cells.sparkSession
     columns = [*GROUP, "start", *MEANS, *COVARIANCES]
     model, at = written(_starts(cells), "estimate")
     for _ in range(FIRST_STEPS):
-        new, new_at = written(_step(cells, model, held).select(columns), "estimate")
+        new, new_at = written(_step(cells, model, held).select(columns), "estimate", most)
         discard(spark, at)
         model, at = new, new_at
     least = F.row_number().over(Window.partitionBy(*GROUP).orderBy("log_det", "start"))
-    best, best_at = written(_factored(model).withColumn("k", least).where("k = 1").select(*columns, "log_det", F.lit(True).alias("falls")), "estimate")
+    best, best_at = written(_factored(model).withColumn("k", least).where("k = 1").select(*columns, "log_det", F.lit(True).alias("falls")), "estimate", most)
     discard(spark, at)
     for _ in range(MOST_STEPS):
         if best.where("falls").isEmpty():
@@ -192,7 +194,7 @@ def estimates(cells: DataFrame, held=lambda df: df) -> tuple[DataFrame, str]:
         both = best.select(*GROUP, F.struct(*columns[2:]).alias("old"), "log_det").join(held(next_.select(*GROUP, F.struct(*columns[2:]).alias("new"), "new_det")), GROUP, "left")
         falls = F.coalesce(F.col("new_det") < F.col("log_det") - 1e-6, F.lit(False))
         both = both.select(*GROUP, F.when(falls, F.col("new")).otherwise(F.col("old")).alias("m"), F.when(falls, F.col("new_det")).otherwise(F.col("log_det")).alias("log_det"), falls.alias("falls"))
-        new, new_at = written(both.select(*GROUP, "m.*", "log_det", "falls"), "estimate")
+        new, new_at = written(both.select(*GROUP, "m.*", "log_det", "falls"), "estimate", most)
         discard(spark, best_at)
         best, best_at = new, new_at
     near = cells.join(held(_factored(best.select(columns))), GROUP).withColumn("inside", _distance() <= INNER)
@@ -200,7 +202,7 @@ def estimates(cells: DataFrame, held=lambda df: df) -> tuple[DataFrame, str]:
     # at least SHARE of the rows lie inside, but where most of a group is far from its densest part
     inner = _moments(near.where("inside").groupBy(*GROUP).agg(*(c.alias(k) for k, c in _sums().items())), REWEIGHTED)
     out = n.join(inner, GROUP, "left").join(best.select(*GROUP, *(F.col(c).alias(f"raw_{c}") for c in (*MEANS, *COVARIANCES))), GROUP)
-    out, out_at = written(out.select(*GROUP, "rows", *(F.coalesce(c, f"raw_{c}").alias(c) for c in (*MEANS, *COVARIANCES))), "estimates")
+    out, out_at = written(out.select(*GROUP, "rows", *(F.coalesce(c, f"raw_{c}").alias(c) for c in (*MEANS, *COVARIANCES))), "estimates", most)
     discard(spark, best_at)
     return out, out_at
 
@@ -230,19 +232,22 @@ def judged(docs: DataFrame, lang_col: str = "lang", source_col: str = "source",
     stats, stats_at = written(stats.select(*carried, *STATS, "base_failed", "__g_lang", "__g_source", *X), "statistics")
 
     cells = stats.where("not base_failed").groupBy(F.col("__g_lang").alias("g_lang"), F.col("__g_source").alias("g_source"), *X).agg(F.count("*").alias("count"))
-    cells, cells_at = written(cells, "cells")
+    most = files(spark, stats.count())
+    cells, cells_at = written(cells, "cells", most)
     # a star stands for any; other names begin with an equals sign
     levels = F.explode(F.array(F.struct("g_lang", "g_source"), F.struct("g_lang", F.lit("*").alias("g_source")), F.struct(F.lit("*").alias("g_lang"), F.lit("*").alias("g_source"))))
     every = cells.select(levels.alias("g"), *X, "count").groupBy("g.g_lang", "g.g_source", *X).agg(F.sum("count").alias("count"))
-    every, every_at = written(every, "levels")
+    every, every_at = written(every, "levels", most)
     discard(spark, cells_at)
-    small = every.select(*GROUP).distinct().limit(20_001).count() <= 20_000
+    groups = every.select(*GROUP).distinct().limit(20_001).count()
+    small = groups <= 20_000
     held = (lambda df: F.broadcast(df)) if small else (lambda df: df)
-    found, found_at = estimates(every, held)
+    most = -(-groups // FILE_GROUPS) or 1 if small else most
+    found, found_at = estimates(every, held, most)
     discard(spark, every_at)
     of_lang = _drawn(found.where("g_lang <> '*' AND g_source = '*'"), found.where("g_lang = '*'").drop(*GROUP), [], held)
     model = _factored(_drawn(found.where("g_source <> '*'"), of_lang.drop("g_source"), ["g_lang"], held))
-    model, _ = written(model.select(F.col("g_lang").alias("__g_lang"), F.col("g_source").alias("__g_source"), *MEANS, *(f"l{j}{k}" for j, k in PAIRS)), "model")
+    model, _ = written(model.select(F.col("g_lang").alias("__g_lang"), F.col("g_source").alias("__g_source"), *MEANS, *(f"l{j}{k}" for j, k in PAIRS)), "model", most)
     discard(spark, found_at)
     out = stats.join(held(model), ["__g_lang", "__g_source"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     return out.select(*carried, *STATS, "base_failed", "distance", (~F.col("base_failed") & (F.col("distance") <= CUTOFF)).alias("kept"))

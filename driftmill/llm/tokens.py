@@ -7,12 +7,14 @@ chunks, end to end, are its ids of the whole.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import json
 import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
 
 #: Distinct chunks, and half as many parts of chunks, whose ids a Python worker remembers at most. Later ones are encoded each time.
 REMEMBERED = 800_000
@@ -102,6 +104,19 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def forget() -> None:
+    """Give back what this Python worker remembers of tokenizing.
+
+    Spark hands a worker from stage to stage, so that its memory stays with functions that have no use for it: they call this first.
+    """
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's alone
+        if trim:
+            trim(0)
+
+
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """end after each text's ids."""
     return np.insert(ids, np.cumsum(counts), np.uint32(end)).astype(np.uint32), counts + 1

@@ -345,3 +345,25 @@ def test_pipeline_stages(spark):
     kept = {r.doc_id for r in out.collect()}
     packed = {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").distinct().collect()}
     assert kept == packed and 0 < len(kept) < docs.count()
+
+
+def test_near_dedup_gives_back_what_tokenizing_remembers():
+    from driftmill.llm import tokens
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([b"a b c d e f"])], names=["doc_id", "text"])
+    held = batch.append_column("cls", pa.array([b"-"])).append_column("node", pa.array([0]))
+    edges = pa.RecordBatch.from_arrays([pa.array([2]), pa.array([1])], names=["a", "b"])
+    for run, batches in ((neardup._signatures(5), [batch]), (neardup._sets(5), [held]), (neardup._compared(80), []), (neardup._contracted, [edges])):
+        tokens.encoder(entries.tokenizer()).one("some text")
+        assert tokens.encoder.cache_info().currsize == 1
+        list(run(batches))
+        assert tokens.encoder.cache_info().currsize == 0
+
+
+def test_intermediate_tables_have_few_files(spark):
+    from driftmill.llm import common
+
+    assert common.files(spark, 0) == 2 * spark.sparkContext.defaultParallelism and common.files(spark, 10**7) == 500
+    table, at = common.written(spark.range(1000).repartition(40), "few", 3)
+    assert table.count() == 1000 and len(table.inputFiles()) == 3
+    common.discard(spark, at)
