@@ -12,12 +12,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import discard, prepare, ragged, written
-from .tokens import encoder, with_end
+from .tokens import encoder, forget, with_end
 
 #: Ids in a block at most, but for a longer document; ids between two marks; bits of the longest code.
 BLOCK, STRIDE, LONGEST = 1 << 19, 64, 20
@@ -109,7 +109,7 @@ class Codec:
 def _tokenized(batches: Iterable[pa.RecordBatch], schema: pa.Schema, path: str, end: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    part, seq = TaskContext.get().partitionId(), 0
+    part, seq, before = TaskContext.get().partitionId(), 0, 0
     names: list[pa.Array] = []
     sizes: list[np.ndarray] = []
     held: list[np.ndarray] = []
@@ -120,7 +120,7 @@ def _tokenized(batches: Iterable[pa.RecordBatch], schema: pa.Schema, path: str,
         counts, doc_ids = np.concatenate(sizes), pa.concat_arrays(names)
         n = np.array([len(counts)])
         ids = np.concatenate(held)
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), ragged(n, doc_ids), ragged(n, pa.array(counts)), pa.array([len(ids)]), pa.array([ids.astype("<u4").tobytes()], pa.binary())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), ragged(n, doc_ids), ragged(n, pa.array(counts)), pa.array([len(ids)]), pa.array([before]), pa.array([ids.astype("<u4").tobytes()], pa.binary())], schema=schema)
 
     for b in batches:
         ids, counts = with_end(*own.ids(b.column(1).to_pylist()), end)
@@ -132,7 +132,7 @@ def _tokenized(batches: Iterable[pa.RecordBatch], schema: pa.Schema, path: str,
                 sizes.append(counts[begin:i])
                 held.append(ids[cuts[begin] : cuts[i]])
                 yield block()
-                names, sizes, held, size, begin, seq = [], [], [], 0, i, seq + 1
+                names, sizes, held, size, begin, seq, before = [], [], [], 0, i, seq + 1, before + size
             size += int(n)
         names.append(b.column(0).slice(begin))
         sizes.append(counts[begin:])
@@ -141,6 +141,22 @@ def _tokenized(batches: Iterable[pa.RecordBatch], schema: pa.Schema, path: str,
         yield block()
 
 
+def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each id occurs in a partition."""
+    forget()
+    seen = np.zeros(0, np.int64)
+    for b in batches:
+        for x in b.column(0):
+            own = np.bincount(np.frombuffer(x.as_buffer(), "<u4"))
+            if len(own) > len(seen):
+                own[: len(seen)] += seen
+                seen = own
+            else:
+                seen[: len(own)] += own
+    used = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(seen[used], pa.int64())], names=["id", "n"])
+
+
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Tokenize every text whole (null as empty), append the id end, and write the dataset in folder, by ascending id.
 
@@ -152,7 +168,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, id_
     own = source.schema["doc_id"].dataType
     head = T.StructType().add("part", T.IntegerType()).add("seq", T.IntegerType())
     listed = T.StructType().add("doc_ids", T.ArrayType(own)).add("n_tokens", T.ArrayType(T.LongType())).add("n_ids", T.LongType())
-    schema = T.StructType([*head, *listed]).add("ids", T.BinaryType())
+    # inside: ids before the block in its part
+    schema = T.StructType([*head, *listed]).add("inside", T.LongType()).add("ids", T.BinaryType())
 
     def tokenize(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -163,50 +180,37 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, id_
     ordered = source.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     raw, raw_at = written(ordered.mapInArrow(tokenize, schema), "ids")
 
-    def count(batches):
-        seen = np.zeros(0, np.int64)
-        for b in batches:
-            for x in b.column(0):
-                own = np.bincount(np.frombuffer(x.as_buffer(), "<u4"))
-                if len(own) > len(seen):
-                    own[: len(seen)] += seen
-                    seen = own
-                else:
-                    seen[: len(own)] += own
-        used = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(seen[used], pa.int64())], names=["id", "n"])
-
     # as many rows as the vocabulary has ids
-    totals = raw.select("ids").mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    totals = raw.select("ids").mapInArrow(_counted, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r.id for r in totals), default=0) + 1, np.int64)
     for r in totals:
         counts[r.id] = r.n
     lengths = code_lengths(counts)
-    spark.createDataFrame([(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)], "id int, bits int").coalesce(1).write.parquet(f"{folder}/codebook")
-
-    # ids before each part: a row for each partition; inside a part, a window over its blocks
-    before, so_far, blocks = {}, 0, 0
-    for r in raw.groupBy("part").agg(F.sum("n_ids").alias("n"), F.count("*").alias("blocks")).orderBy("part").collect():
-        before[r.part], so_far, blocks = so_far, so_far + r.n, blocks + r.blocks
-    starts = F.broadcast(spark.createDataFrame(list(before.items()), "part int, before bigint"))
-    inside = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    places = raw.select("part", "seq", "n_ids").withColumn("inside", inside).join(starts, "part").select("part", "seq", (F.col("before") + F.col("inside")).alias("start"))
-    sent = spark.sparkContext.broadcast(lengths)  # one number for each id of the vocabulary
+    # from Arrow, as rows would start Python workers of another kind on the executors
+    used = np.flatnonzero(lengths)
+    spark.createDataFrame(pa.table({"id": pa.array(used, pa.int32()), "bits": pa.array(lengths[used], pa.int32())})).coalesce(1).write.parquet(f"{folder}/codebook")
+
+    # ids before each part: a row for each partition
+    before, so_far = {}, 0
+    for r in raw.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():
+        before[r.part], so_far = so_far, so_far + r.n
+    sent = spark.sparkContext.broadcast((lengths, before))  # one number for each id of the vocabulary, and for each part
     result = T.StructType([*head, *listed]).add("start", T.LongType()).add("marks", T.ArrayType(T.LongType())).add("payload", T.BinaryType())
 
     def encode(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        codec, arrow = Codec(sent.value), to_arrow_schema(result)
+        forget()
+        lengths, before = sent.value
+        codec, arrow = Codec(lengths), to_arrow_schema(result)
         for b in batches:
             for i in range(len(b)):
+                start = before[b.column("part")[i].as_py()] + b.column("inside")[i].as_py()
                 payload, marks = codec.encode(np.frombuffer(b.column("ids")[i].as_buffer(), "<u4"))
                 row = b.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([*(row.column(c) for c in arrow.names[:6]), ragged(np.array([len(marks)]), pa.array(marks, pa.int64())), pa.array([payload], pa.binary())], schema=arrow)
+                yield pa.RecordBatch.from_arrays([*(row.column(c) for c in arrow.names[:5]), pa.array([start], pa.int64()), ragged(np.array([len(marks)]), pa.array(marks, pa.int64())), pa.array([payload], pa.binary())], schema=arrow)
 
-    # a few bytes a block: broadcast up to some thousand blocks
-    placed = raw.join(F.broadcast(places) if blocks < 100_000 else places, ["part", "seq"])
-    placed.mapInArrow(encode, result).write.option("compression", "none").parquet(f"{folder}/blocks")
+    raw.mapInArrow(encode, result).write.option("compression", "none").parquet(f"{folder}/blocks")
     discard(spark, raw_at)
 
 
@@ -224,6 +228,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     def decode(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        forget()
         codec, arrow = Codec(sent.value), to_arrow_schema(schema)
         for b in batches:
             for i in range(len(b)):

@@ -367,3 +367,24 @@ def test_intermediate_tables_have_few_files(spark):
     table, at = common.written(spark.range(1000).repartition(40), "few", 3)
     assert table.count() == 1000 and len(table.inputFiles()) == 3
     common.discard(spark, at)
+
+
+def test_counting_ids_gives_back_what_tokenizing_remembers():
+    from driftmill.llm import tokens
+
+    tokens.encoder(entries.tokenizer()).one("some text")
+    batch = pa.RecordBatch.from_arrays([pa.array([np.array([3, 1, 3], "<u4").tobytes()], pa.binary())], names=["ids"])
+    assert [b.to_pydict() for b in tokenfile._counted([batch])] == [{"id": [1, 3], "n": [1, 2]}]
+    assert tokens.encoder.cache_info().currsize == 0
+
+
+def test_token_file_starts_across_blocks(spark, tmp_path):
+    text = " ".join(f"w{k % 5000}" for k in range(60000))
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit(text), F.col("id").cast("string")).alias("text"))
+    tokenfile.write_tokens(docs, f"{tmp_path}/t", entries.tokenizer())
+    blocks = spark.read.parquet(f"{tmp_path}/t/blocks")
+    assert blocks.groupBy("part").count().agg(F.max("count")).first()[0] > 1
+    at = 0
+    for r in tokenfile.read_tokens(spark, f"{tmp_path}/t").orderBy("doc_id").collect():
+        assert r.start == at
+        at += len(r.ids) // 4
