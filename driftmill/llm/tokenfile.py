@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import discard, prepare, ragged, written
-from .tokens import encoder, forget, with_end
+from .tokens import encoder, forget
 
 #: Ids in a block at most, but for a longer document; ids between two marks; bits of the longest code.
 BLOCK, STRIDE, LONGEST = 1 << 19, 64, 20
@@ -70,9 +70,9 @@ class Codec:
         self.lengths = lengths
         self.codes, order = canonical(lengths)
         self.width = int(lengths.max()) if len(order) else 1
-        # by the next width bits: the id, and below it in a 64-bit number its length
-        table = np.repeat(order.astype(np.int64) << 8 | lengths[order], 1 << (self.width - lengths[order])) if len(order) else np.zeros(0, np.int64)
-        self.table = np.concatenate([table, np.full((1 << self.width) - len(table), 1, np.int64)])
+        # by the next width bits: the id, and below it in five bits its length
+        table = np.repeat(order.astype(np.int64) << 5 | lengths[order], 1 << (self.width - lengths[order])) if len(order) else np.zeros(0, np.int64)
+        self.table = np.concatenate([table, np.full((1 << self.width) - len(table), 1, np.int64)]).astype(np.int32 if len(lengths) < 1 << 26 else np.int64)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The payload, and the bit offsets of every STRIDE-th id."""
@@ -80,30 +80,32 @@ class Codec:
         ends = np.cumsum(n)
         at = ends - n
         bits = int(ends[-1]) if len(ids) else 0
-        # a code touches at most two 32-bit words; those of one word are summed, as their bits are disjoint
+        # a code touches at most two 32-bit words; those that begin in one word are summed, as their bits are disjoint
         shifted = self.codes[ids] << (64 - (at & 31) - n).astype(np.uint64)
         words = np.zeros(bits // 32 + 2, np.uint64)
         if len(ids):
             word = at >> 5
             cut = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            words[word[cut]] += np.add.reduceat(shifted >> np.uint64(32), cut)
-            words[word[cut] + 1] += np.add.reduceat(shifted & np.uint64(0xFFFFFFFF), cut)
+            both, word = np.add.reduceat(shifted, cut), word[cut]
+            words[word] += both >> np.uint64(32)
+            words[word + 1] += both & np.uint64(0xFFFFFFFF)
         return words.astype(">u4").tobytes()[: (bits + 7) // 8], at[::STRIDE]
 
     def decode(self, payload: bytes, marks: np.ndarray, n: int) -> np.ndarray:
-        b = np.frombuffer(payload + bytes(8), np.uint8).astype(np.uint64)
-        # the 32 bits that begin at each byte, so that one look-up has width bits after any bit offset
-        windows = (b[:-4] << np.uint64(32)) | (b[1:-3] << np.uint64(24)) | (b[2:-2] << np.uint64(16)) | (b[3:-1] << np.uint64(8)) | b[4:]
-        out = np.zeros((len(marks), STRIDE), np.int64)
-        at = marks.astype(np.int64)
-        last = len(windows) * 8 - 1
+        # zeros behind the payload, for what the last mark reads beyond it
+        b = np.frombuffer(payload + bytes(STRIDE * LONGEST // 8 + 8), np.uint8).astype(np.uint32)
+        # the 32 bits that begin at each byte, so that one look-up has width bits (LONGEST at most) after any bit offset
+        windows = (b[:-3] << np.uint32(24)) | (b[1:-2] << np.uint32(16)) | (b[2:-1] << np.uint32(8)) | b[3:]
+        out = np.empty((STRIDE, len(marks)), np.uint32)
+        at = marks.astype(np.uint32 if len(b) < 1 << 28 else np.int64)
         for k in range(STRIDE):
-            at = np.minimum(at, last)
-            seen = (windows[at >> 3] >> (40 - (at & 7) - self.width).astype(np.uint64)).astype(np.int64) & ((1 << self.width) - 1)
+            seen = windows[at >> 3]
+            seen <<= (at & 7).astype(np.uint32)
+            seen >>= np.uint32(32 - self.width)
             entry = self.table[seen]
-            out[:, k] = entry >> 8
-            at = at + (entry & 255)
-        return out.reshape(-1)[:n].astype(np.uint32)
+            out[k] = entry >> 5
+            at += (entry & 31).astype(at.dtype)
+        return out.T.reshape(-1)[:n]
 
 
 def _tokenized(batches: Iterable[pa.RecordBatch], schema: pa.Schema, path: str, end: int) -> Iterator[pa.RecordBatch]:
@@ -123,7 +125,7 @@ def _tokenized(batches: Iterable[pa.RecordBatch], schema: pa.Schema, path: str,
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), ragged(n, doc_ids), ragged(n, pa.array(counts)), pa.array([len(ids)]), pa.array([before]), pa.array([ids.astype("<u4").tobytes()], pa.binary())], schema=schema)
 
     for b in batches:
-        ids, counts = with_end(*own.ids(b.column(1).to_pylist()), end)
+        ids, counts = own.ids(b.column(1).to_pylist(), end)
         cuts = np.concatenate([[0], np.cumsum(counts)])
         begin = 0
         for i, n in enumerate(counts):

@@ -92,9 +92,10 @@ class Encoder:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.known.__getitem__, chunks(text)))
 
-    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, end to end, and how many each has."""
-        own = [self.one(t) for t in texts]
+    def ids(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, end to end, and how many each has; end, if given, after each."""
+        last = b"" if end is None else np.array([end], "<u4").tobytes()
+        own = [self.one(t) + last for t in texts]
         return np.frombuffer(b"".join(own), "<u4"), np.fromiter(map(len, own), np.int64, len(own)) // 4
 
 

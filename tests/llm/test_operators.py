@@ -388,3 +388,22 @@ def test_token_file_starts_across_blocks(spark, tmp_path):
     for r in tokenfile.read_tokens(spark, f"{tmp_path}/t").orderBy("doc_id").collect():
         assert r.start == at
         at += len(r.ids) // 4
+
+
+def test_codec_reads_beyond_no_payload():
+    for lengths in (np.array([0, 1]), np.array([1, 1]), np.array([1] + list(range(2, 20)) + [20, 20])[:]):
+        codec = tokenfile.Codec(lengths)
+        used = np.flatnonzero(lengths).astype(np.uint32)
+        for n in (0, 1, 63, 64, 65, 1000):
+            ids = used[np.arange(n) % len(used)]
+            payload, marks = codec.encode(ids)
+            got = codec.decode(payload, marks, n)
+            assert got.dtype == np.uint32 and (got == ids).all()
+
+
+def test_encoder_puts_the_end_after_each_text():
+    e = Encoder(entries.tokenizer())
+    ids, counts = e.ids(["one two", "", "three"], 7)
+    plain, own = e.ids(["one two", "", "three"])
+    assert counts.tolist() == (own + 1).tolist() and [ids[k - 1] for k in np.cumsum(counts)] == [7, 7, 7]
+    assert np.delete(ids, np.cumsum(counts) - 1).tolist() == plain.tolist()
