@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import prepare
-from .tokens import encoder, with_end
+from .tokens import encoder
 
 #: Remainders that wait to be placed, at least; so many more as a bin's tokens need.
 POOL = 512
@@ -166,9 +166,10 @@ def pack(docs: DataFrame, tokenizer: str, segments: int, end: int = 1, tokens: i
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
         for b in batches:
-            ids, counts = with_end(*own.ids(b.column(1).to_pylist()), end)
+            ids, counts = own.ids(b.column(1), end)
             cuts = np.cumsum(counts)
-            prompts = [np.frombuffer(own.one(p), "<u4") if p else None for p in b.column(2).to_pylist()]
+            before, lengths = own.ids(b.column(2))
+            prompts = [x if len(x) else None for x in np.split(before, np.cumsum(lengths)[:-1])]
             for name, cut, n, prompt in zip(b.column(0).to_pylist(), cuts.tolist(), counts.tolist(), prompts):
                 text_ids = ids[cut - n : cut]
                 whole = text_ids if prompt is None else np.concatenate([prompt, text_ids])

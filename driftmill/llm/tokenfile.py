@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, prepare, ragged, written
+from .common import BATCH_BYTES, discard, prepare, ragged, written
 from .tokens import encoder, forget
 
 #: Ids in a block at most, but for a longer document; ids between two marks; bits of the longest code.
@@ -108,6 +108,20 @@ class Codec:
         return out.T.reshape(-1)[:n]
 
 
+def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined to BATCH_BYTES at most, or single ones above it: the more text at once, the fewer look-ups of its words."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        if held and size + b.nbytes > BATCH_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(b)
+        size += b.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _tokenized(batches: Iterable[pa.RecordBatch], schema: pa.Schema, path: str, end: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -124,8 +138,8 @@ def _tokenized(batches: Iterable[pa.RecordBatch], schema: pa.Schema, path: str,
         ids = np.concatenate(held)
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), ragged(n, doc_ids), ragged(n, pa.array(counts)), pa.array([len(ids)]), pa.array([before]), pa.array([ids.astype("<u4").tobytes()], pa.binary())], schema=schema)
 
-    for b in batches:
-        ids, counts = own.ids(b.column(1).to_pylist(), end)
+    for b in _gathered(batches):
+        ids, counts = own.ids(b.column(1), end)
         cuts = np.concatenate([[0], np.cumsum(counts)])
         begin = 0
         for i, n in enumerate(counts):

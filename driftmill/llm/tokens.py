@@ -1,8 +1,9 @@
 """Token ids by the tokenizers library, which sees each distinct chunk of text once.
 
-A byte-level BPE splits a text before it merges, and never across the place between a character that isn't white space and
-a single space followed by another such character. The text is cut there, and the library's ids of the
-chunks, end to end, are its ids of the whole.
+A byte-level BPE splits a text before it merges. Some places where it always splits can be told from a few bytes, and there the
+texts of a whole Arrow batch are cut: around a single space or line feed within a text (a space stays with what follows), and between letters,
+digits and other characters where both sides are ASCII or Latin-1. Elsewhere a chunk goes on, and is split by the model's own
+expression. The library's ids of the chunks, end to end, are its ids of the whole.
 """
 
 from __future__ import annotations
@@ -10,33 +11,87 @@ from __future__ import annotations
 import ctypes
 import functools
 import json
-import re
 from array import array
+from codecs import charmap_decode
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Distinct chunks, and half as many parts of chunks, whose ids a Python worker remembers at most. Later ones are encoded each time.
+#: Distinct chunks, and half as many parts of chunks, whose ids a Python worker remembers at most. Later ones are encoded once a batch.
 REMEMBERED = 800_000
 
-# white space but for spaces and line feeds; Python's includes all that the library's does
-_OTHER = re.compile(r"[^\S \n]")
-_CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Bytes of the longest chunk that is remembered.
+LONGEST = 256
 
 # Fixed value: how a byte-level BPE of this family splits a text.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+# what a byte belongs to
+UNKNOWN, LETTER, DIGIT, OTHER, WHITE = range(5)
 
-def _alphabet() -> dict[int, str]:
+
+def _kinds() -> np.ndarray:
+    out = np.full(256, UNKNOWN, np.uint8)
+    for b in range(128):
+        c = chr(b)
+        if c.isspace():
+            out[b] = WHITE
+        elif c.isalpha():
+            out[b] = LETTER
+        elif c.isdigit():
+            out[b] = DIGIT
+        elif c.isprintable():
+            out[b] = OTHER
+    return out
+
+
+_KINDS = _kinds()
+# white space of two and three bytes, and whether a byte can begin it or a Latin-1 letter
+_WHITE2 = [0x85, 0xA0]
+_WHITE3 = [int.from_bytes(chr(c).encode(), "big") for c in (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_LEADS = np.isin(np.arange(256), [0xC2, 0xC3, 0xE1, 0xE2, 0xE3])
+
+
+def _alphabet() -> str:
     """The character that stands for each byte in the vocabulary: itself where printable, else one from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in set(plain))}
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in plain else next(others)) for b in range(256))
+
 
+def cuts(b: np.ndarray, offsets: np.ndarray, whole: np.ndarray | None = None) -> np.ndarray:
+    """Where chunks begin in the UTF-8 texts that lie end to end in b, with the end of the last one; offsets are those of the texts.
 
-def chunks(text: str) -> list[str]:
-    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _OTHER.search(text):
-        return _CUT.split(text)
-    return text.replace(" ", "\0 ").split("\0") if "\0" not in text else _CUT.split(text)
+    whole: which texts must not be cut.
+    """
+    kind = _KINDS[b]
+    at = np.flatnonzero(_LEADS[b])
+    lead, second = b[at], b[at + 1]
+    letters = at[(lead == 0xC3) & (second != 0x97) & (second != 0xB7)]  # but for the signs of multiplication and division
+    kind[letters] = kind[letters + 1] = LETTER
+    white = at[(lead == 0xC2) & np.isin(second, _WHITE2)]
+    kind[white] = kind[white + 1] = WHITE
+    white = at[lead >= 0xE1]
+    white = white[np.isin(b[white].astype(np.int32) << 16 | b[white + 1].astype(np.int32) << 8 | b[white + 2], _WHITE3)]
+    kind[white] = kind[white + 1] = kind[white + 2] = WHITE
+
+    mark = np.zeros(len(b) + 1, bool)
+    known = (kind >= LETTER) & (kind <= OTHER)
+    mark[1:-1] = (kind[1:] != kind[:-1]) & known[1:] & known[:-1]
+    # an apostrophe and letters can be one part, as in it's
+    quote = np.flatnonzero(b[:-1] == 39) + 1
+    mark[quote[kind[quote] == LETTER]] = False
+    # a single space or line feed; what lies in the next text is no harm, as each text's ends are cuts
+    inner = np.flatnonzero((b[1:-1] == 32) | (b[1:-1] == 10)) + 1
+    inner = inner[(kind[inner - 1] != WHITE) & (kind[inner + 1] != WHITE)]
+    mark[inner] = True
+    mark[inner[b[inner] == 10] + 1] = True
+    for k in np.flatnonzero(whole) if whole is not None else ():
+        mark[offsets[k] : offsets[k + 1]] = False
+    mark[offsets] = True
+    return np.flatnonzero(mark)
 
 
 class _Known(dict):
@@ -48,29 +103,26 @@ class _Known(dict):
         self.split, self.merge, self.letters = regex.compile(SPLIT).findall, tokenizer.model.tokenize, _alphabet()
         self.parts: dict[str, bytes] = {}
 
-    def __missing__(self, chunk: str) -> bytes:
-        if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):  # one part
+    def __missing__(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):  # one part
             ids = self.merged(chunk)
         else:
             own = []
-            for part in self.split(chunk):
+            for part in self.split(text):
                 ids = self.parts.get(part)
                 if ids is None:
-                    ids = self.merged(part)
-                    if len(self.parts) < REMEMBERED // 2:
+                    ids = self.merged(part.encode())
+                    if len(self.parts) < REMEMBERED // 2 and len(part) <= LONGEST:
                         self.parts[part] = ids
                 own.append(ids)
             ids = b"".join(own)
-        if len(self) < REMEMBERED:
+        if len(self) < REMEMBERED and len(chunk) <= LONGEST:
             self[chunk] = ids
         return ids
 
-    def merged(self, part: str) -> bytes:
-        if part.isascii() and part.isprintable():
-            letters = part.replace(" ", self.letters[32])
-        else:
-            letters = part.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.merge(letters)]).tobytes()
+    def merged(self, part: bytes) -> bytes:
+        return array("I", [t.id for t in self.merge(charmap_decode(part, "strict", self.letters)[0])]).tobytes()
 
 
 class Encoder:
@@ -88,15 +140,36 @@ class Encoder:
         self.known = _Known(self.tokenizer)
 
     def one(self, text: str) -> bytes:
-        if any(x in text for x in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, chunks(text)))
+        return self.ids([text])[0].tobytes()
 
-    def ids(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, texts: pa.Array | Sequence[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, end to end, and how many each has; end, if given, after each."""
-        last = b"" if end is None else np.array([end], "<u4").tobytes()
-        own = [self.one(t) + last for t in texts]
-        return np.frombuffer(b"".join(own), "<u4"), np.fromiter(map(len, own), np.int64, len(own)) // 4
+        rows = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.binary())
+        if rows.null_count:
+            rows = rows.fill_null(b"")
+        offsets = np.frombuffer(rows.buffers()[1], np.int32, len(rows) + 1, 4 * rows.offset) if len(rows) else np.zeros(1, np.int32)
+        size = int(offsets[-1] - offsets[0])
+        if not size:
+            ids, counts = np.zeros(0, "<u4"), np.zeros(len(rows), np.int64)
+            return (ids, counts) if end is None else with_end(ids, counts, end)
+        b = np.frombuffer(rows.buffers()[2], np.uint8, size, int(offsets[0]))
+        offsets = offsets - offsets[0]
+        whole = np.zeros(len(rows), bool)
+        for x in self.special:
+            whole |= pc.match_substring(rows, x).to_numpy(zero_copy_only=False)
+
+        begin = cuts(b, offsets, whole if whole.any() else None).astype(np.int32)
+        chunks = pa.Array.from_buffers(pa.binary(), len(begin) - 1, [None, pa.py_buffer(begin), pa.py_buffer(b)]).dictionary_encode()
+        find = self.known.__getitem__
+        if whole.any():
+            special = {t: np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in rows.filter(pa.array(whole)).to_pylist()}
+            find = lambda chunk: special[chunk] if chunk in special else self.known[chunk]
+        own = pa.array(list(map(find, chunks.dictionary.to_numpy(zero_copy_only=False))), pa.large_binary()).take(chunks.indices)
+        _, places, ids = own.buffers()
+        places = np.frombuffer(places, np.int64, len(own) + 1) // 4
+        ids = np.frombuffer(ids, "<u4", int(places[-1]))
+        counts = np.diff(places[np.searchsorted(begin, offsets)])
+        return (ids, counts) if end is None else with_end(ids, counts, end)
 
 
 @functools.lru_cache(maxsize=2)

@@ -407,3 +407,36 @@ def test_encoder_puts_the_end_after_each_text():
     plain, own = e.ids(["one two", "", "three"])
     assert counts.tolist() == (own + 1).tolist() and [ids[k - 1] for k in np.cumsum(counts)] == [7, 7, 7]
     assert np.delete(ids, np.cumsum(counts) - 1).tolist() == plain.tolist()
+
+
+ODD = [' ', '\n', '\t', '\x00', '!', ',', '.', '-', "'", '<', '|', '1', '  ', '\r\n', '\x1c', '\x7f', '\x85', '\xa0', '\u1680', '\u200a', '\u200b', '\u2028', '\u3000', '\ufeff', "'s", "'re", "''", 's', 're', 'B', 'word', '\xe9', '\xdf', '\xd7', '\xf7', '\xaa', '\xb2', '\xbd', '\u0436', '\u042f', '\u5b57', '\u3002', '\u201d', '\u2014', '\u0301', '\u0e01', '\u093f', '\U0001f642', '<|endoftext|>', '<|endof']
+
+
+def test_odd_texts_have_the_librarys_tokens():
+    e, rng = Encoder(entries.tokenizer()), np.random.default_rng(11)
+    rows = ["".join(rng.choice(ODD, n)) for n in rng.integers(0, 14, 20000)]
+    expected = [x.ids for x in e.tokenizer.encode_batch(rows, add_special_tokens=False)]
+    for texts in (pa.array(rows), pa.array(["before", *rows, "after"]).slice(1, len(rows)), pa.array(rows, pa.large_string())):
+        ids, counts = e.ids(texts)
+        assert counts.tolist() == [len(x) for x in expected] and ids.tolist() == [i for x in expected for i in x]
+    assert [x.tolist() for x in e.ids(pa.array([None, "a", None]), 0)] == [[0, *e.ids(["a"])[0], 0, 0], [1, 2, 1]]
+    assert [x.tolist() for x in e.ids(pa.array([], pa.string()), 0)] == [[], []]
+
+
+def test_a_chunk_is_looked_up_once_a_batch():
+    e, seen = Encoder(entries.tokenizer()), []
+
+    class Counting(type(e.known)):
+        def __getitem__(self, chunk):
+            seen.append(chunk)
+            return super().__getitem__(chunk)
+
+    e.known = Counting(e.tokenizer)
+    e.ids(["un été, puis un été.\nPuis (un) 2e été", "un été; un été"] * 50)
+    assert len(seen) == len(set(seen)) and set(e.known) == {x.encode() for x in ("un", " été", ",", " puis", " un", ".", "\n", "Puis", " (", ")", " 2", "e", ";")}
+
+
+def test_few_batches_are_tokenized():
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["x" * 1000])], names=["doc_id", "text"])
+    large = pa.RecordBatch.from_arrays([pa.array([2]), pa.array(["x" * tokenfile.BATCH_BYTES])], names=["doc_id", "text"])
+    assert [len(b) for b in tokenfile._gathered([batch] * 3 + [large] + [batch] * 2)] == [3, 1, 2]
